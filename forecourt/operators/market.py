@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from forecourt.functions.numbers import half_up, ratio
 from forecourt.operators.aggregates import share_of_total, summarise, top_per_group
 from forecourt.operators.joins import join_on
-from forecourt.operators.quantiles import quantiles
+from forecourt.operators.quantiles import bucket_of, quantiles, value_counts
 from forecourt.schema import AUDIT_DEFAULT_LIMITS, AUDIT_LIMITS
 
 
@@ -53,32 +53,42 @@ def concentration(df: DataFrame, segment: str, brand: str, k: int = 3) -> DataFr
         F.count_distinct(brand).alias("distinct_makes"),
         F.count_distinct("model").alias("distinct_models"),
         half_up(F.avg("price")).alias("avg_price"),
+        half_up(F.stddev_samp("price")).alias("std_price"),
+        F.min("price").alias("min_price"), F.max("price").alias("max_price"),
     )
     both = join_on(figures, largest, [segment], "left")
-    return both.withColumn("concentration", half_up(ratio(F.col("_top"), F.col("total_listings")), 4)).drop("_top")
+    return both.withColumn("concentration", half_up(ratio(F.col("_top"), F.col("total_listings")), 3)).drop("_top")
 
 
 def competition(df: DataFrame) -> DataFrame:
     """For every make: share, price quartiles and the other makes priced inside them.
 
-    The price axis is cut at all makes' quartile bounds; counts per (make, price) decide
-    membership. The makes-by-makes step runs over makes, never over listings.
+    Works on counts per (make, price bucket). A bucket wholly inside a make's band adds
+    its totals; only the two buckets at the band's ends are looked at price by price. Both
+    steps are equi joins on the bucket, and listings are never paired with listings.
     """
     makes = df.where(F.col("manufacturer").isNotNull())
     bounds = quantiles(makes, "price", {"q1": 0.25, "q3": 0.75}, ["manufacturer"])
     own = makes.groupBy("manufacturer").agg(
         F.count("*").alias("total_listings"), half_up(F.avg("price")).alias("avg_price"))
-    # the range test is a band join on a list of makes, built into one array per row
-    bands = bounds.agg(F.collect_list(F.struct(F.col("manufacturer").alias("target"), "q1", "q3"))).scalar()
-    prices = makes.where(F.col("price").isNotNull()).groupBy("manufacturer", "price").agg(F.count("*").alias("_n"))
-    within = prices.select("manufacturer", "price", "_n", F.explode(F.filter(
-        bands, lambda b: (b["target"] != F.col("manufacturer")) & F.col("price").between(b["q1"], b["q3"]))).alias("b"))
-    pairs = within.groupBy(F.col("b.target").alias("target"), "manufacturer").agg(
-        F.sum("_n").alias("_n"), F.sum(F.col("price") * F.col("_n")).alias("_value"))
+    counts = value_counts(makes, "price", ["manufacturer"])
+    totals = counts.groupBy("manufacturer", "_bucket").agg(
+        F.sum("_w").alias("_n"), F.sum(F.col("_value") * F.col("_w")).alias("_sum"))
+    bands = bounds.select(F.col("manufacturer").alias("target"), "q1", "q3",
+                          bucket_of(F.col("q1")).alias("_from"), bucket_of(F.col("q3")).alias("_to"))
+    inner = bands.where(F.col("_to") - F.col("_from") > 1).select(
+        "target", F.explode(F.sequence(F.col("_from") + 1, F.col("_to") - 1)).alias("_bucket"))
+    ends = bands.select("target", "q1", "q3",
+                        F.explode(F.array_distinct(F.array("_from", "_to"))).alias("_bucket"))
+    whole = inner.join(totals, "_bucket").select("target", "manufacturer", "_n", "_sum")
+    partial = ends.join(counts, "_bucket").where(F.col("_value").between(F.col("q1"), F.col("q3"))).select(
+        "target", "manufacturer", F.col("_w").alias("_n"), (F.col("_value") * F.col("_w")).alias("_sum"))
+    pairs = whole.unionByName(partial).where(F.col("target") != F.col("manufacturer")).groupBy(
+        "target", "manufacturer").agg(F.sum("_n").alias("_n"), F.sum("_sum").alias("_sum"))
     rivals = pairs.groupBy(F.col("target").alias("manufacturer")).agg(
         F.count("*").alias("direct_competitors"),
         F.sum("_n").alias("competitor_listings"),
-        half_up(F.sum("_value") / F.sum("_n")).alias("avg_competitor_price"),
+        half_up(F.sum("_sum") / F.sum("_n")).alias("avg_competitor_price"),
     )
     total = df.agg(F.count("*").alias("n")).scalar()
     out = join_on(join_on(own, bounds, ["manufacturer"], "left"), rivals, ["manufacturer"], "left")
@@ -142,3 +152,12 @@ def average_step(df: DataFrame, as_of_year: int) -> DataFrame:
 def share(df: DataFrame, by: str, only: list[str] | None = None) -> DataFrame:
     rows = df.where(F.col(by).isin(only)) if only else df.where(F.col(by).isNotNull())
     return share_of_total(rows.groupBy(by).agg(F.count("*").alias("total")), "total")
+
+
+def flag_against_year(df: DataFrame, fence: float = 1.5) -> DataFrame:
+    """Each listing against the quartile fence of its model year."""
+    q = quantiles(df, "price", {"_q1": 0.25, "_q3": 0.75}, ["year"])
+    gap = (F.col("_q3") - F.col("_q1")) * fence
+    outside = (F.col("price") < F.col("_q1") - gap) | (F.col("price") > F.col("_q3") + gap)
+    flag = F.when(outside, "Outlier").otherwise("Normal")
+    return join_on(df, q, ["year"]).withColumn("price_flag", flag).drop("_q1", "_q3")

@@ -418,7 +418,7 @@ def _(k):
 row_number() OVER (PARTITION BY type ORDER BY count(*) DESC, manufacturer) AS rn FROM listings
 WHERE manufacturer IS NOT NULL GROUP BY 1, 2), t AS (SELECT type, sum(q) AS top3 FROM c WHERE rn <= 3 GROUP BY 1)
 SELECT type, {m('total_listings')}, {n('DISTINCT manufacturer')} AS distinct_makes, {n('DISTINCT model')} AS distinct_models,
-{m('avg_price')}, {r('any_value(top3) / count(*)', 4)} AS concentration FROM listings JOIN t USING (type) GROUP BY 1""")
+{m('avg_price std_price min_price max_price')}, {r('any_value(top3) / count(*)', 3)} AS concentration FROM listings JOIN t USING (type) GROUP BY 1""")
 def _(k):
     return mk.concentration(k.listings("type", "manufacturer", "model", "price"), "type", "manufacturer")
 
@@ -490,17 +490,9 @@ def _(k):
 
 @query("year_outlier_counts", "WN12", f"""WITH q AS (SELECT year, quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3
 FROM listings GROUP BY 1)
-SELECT l.year, CASE WHEN price < q1 - 0.2 * (q3 - q1) THEN 'low' WHEN price > q3 + 0.2 * (q3 - q1) THEN 'high' ELSE 'normal' END AS price_flag,
+SELECT l.year, CASE WHEN price < q1 - 0.2 * (q3 - q1) OR price > q3 + 0.2 * (q3 - q1) THEN 'Outlier' ELSE 'Normal' END AS price_flag,
 {n()} AS listings FROM listings l JOIN q ON l.year = q.year WHERE price IS NOT NULL GROUP BY 1, 2""")
 def _(k):
     df = k.listings("year", "price").where("price is not null")
     # 1.5 leaves nothing outside on this near-uniform price column, so the fence is tighter here
-    return flag_against_year(df, 0.2).groupBy("year", "price_flag").agg(F.count("*").alias("listings"))
-
-
-def flag_against_year(df, fence: float = 1.5):
-    """Each listing against the quartile fence of its model year."""
-    q = quantiles(df, "price", {"_q1": 0.25, "_q3": 0.75}, ["year"])
-    gap = (F.col("_q3") - F.col("_q1")) * fence
-    flag = F.when(F.col("price") < F.col("_q1") - gap, "low").when(F.col("price") > F.col("_q3") + gap, "high")
-    return join_on(df, q, ["year"]).withColumn("price_flag", flag.otherwise("normal")).drop("_q1", "_q3")
+    return mk.flag_against_year(df, 0.2).groupBy("year", "price_flag").agg(F.count("*").alias("listings"))
