@@ -391,8 +391,9 @@ cells AS (SELECT DISTINCT b.model, s.state FROM best b, (SELECT DISTINCT state F
 SELECT c.model, c.state, {r('coalesce(avg(price), 0)')} AS avg_price FROM cells c LEFT JOIN listings l
 ON c.model = l.model AND c.state = l.state GROUP BY 1, 2""")
 def _(k):
-    states = [f"NATION_{i}" for i in range(25)]
-    df = keep_frequent(k.listings("model", "state", "price").where("price is not null"), "model", top=20)
+    df = k.listings("model", "state", "price").where("price is not null")
+    states = [x.state for x in df.select("state").distinct().orderBy("state").collect()]
+    df = keep_frequent(df, "model", top=20)
     wide = pivot_means(df, "model", "state", states, "price")
     return wide.unpivot(["model"], states, "state", "avg_price")
 
