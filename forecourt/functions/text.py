@@ -43,63 +43,65 @@ def _dotted(text: Column) -> Column:
     return number(F.replace(_without(text, "$"), F.lit(","), F.lit(".")))
 
 
-def total_price(price: Column, description: Column, default_term: int = 48, min_payment: float = 0.0) -> Column:
-    """Struct of financing terms and the total price a description implies.
+def instalment_terms(description: Column) -> dict[str, Column]:
+    """Number of times, payment, down payment and stated term of an instalment phrase.
+
+    Each is one pattern search. Put them into columns of their own before using them in
+    several places, or the search is done once per place.
+    """
+    text = F.lower(description)
+    return {
+        "times": _dotted(F.regexp_extract(text, TIMES_VALUE, 1)),
+        "payment": _dotted(F.regexp_extract(text, TIMES_VALUE, 2)),
+        "down": _dotted(F.regexp_extract(text, DOWN_PT, 1)),
+        "term": F.nullif(F.regexp_extract(text, TERM_PT, 1), F.lit("")).try_cast("int"),
+    }
+
+
+def total_price_of(price: Column, description: Column, terms: dict[str, Column], default_term: int = 48,
+                   min_payment: float = 0.0) -> Column:
+    """Struct of financing terms and the total price they imply.
 
     An instalment phrase gives term x payment + down payment; without one the total is the
     stated price, and without any text it is null. "4x4" reads as four payments of four;
     ``min_payment`` above 0 rejects such phrases.
     """
-    text = F.lower(description)
-    payment = _dotted(F.regexp_extract(text, TIMES_VALUE, 2))
-    financed = F.coalesce(payment >= min_payment, F.lit(False))
-    payment = F.when(financed, payment)
-    down = _dotted(F.regexp_extract(text, DOWN_PT, 1))
-    stated_term = F.nullif(F.regexp_extract(text, TERM_PT, 1), F.lit("")).try_cast("int")
-    term = F.when(financed, F.coalesce(stated_term, F.lit(default_term)))
-    total = F.when(financed, payment * term + F.coalesce(down, F.lit(0.0))).when(
+    financed = F.coalesce(terms["payment"] >= min_payment, F.lit(False))
+    payment = F.when(financed, terms["payment"])
+    term = F.when(financed, F.coalesce(terms["term"], F.lit(default_term)))
+    total = F.when(financed, payment * term + F.coalesce(terms["down"], F.lit(0.0))).when(
         description.isNotNull() & (description != ""), price.cast("double"))
     return F.struct(
-        financed.alias("has_installments"), payment.alias("monthly_payment"), down.alias("down_payment"),
+        financed.alias("has_installments"), payment.alias("monthly_payment"), terms["down"].alias("down_payment"),
         total.alias("total_price"), term.alias("installments"), price.cast("double").alias("original_price"),
     )
 
 
-def price_from_text(price_text: Column, description: Column) -> Column:
+def price_from_text(price_text: Column, terms: dict[str, Column]) -> Column:
     """Price of a listing whose price is text: the instalment sum, else the cleaned price."""
-    text = F.lower(description)
-    times = _dotted(F.regexp_extract(text, TIMES_VALUE, 1))
-    value = _dotted(F.regexp_extract(text, TIMES_VALUE, 2))
-    implied = F.coalesce(times * value, F.lit(0.0)) + F.coalesce(
-        _dotted(F.regexp_extract(text, DOWN_PT, 1)), F.lit(0.0))
-    stated = number(F.trim(_without(price_text, "$", ",")))
-    return F.when(implied != 0, implied).otherwise(stated)
+    implied = F.coalesce(terms["times"] * terms["payment"], F.lit(0.0)) + F.coalesce(terms["down"], F.lit(0.0))
+    return F.when(implied != 0, implied).otherwise(number(F.trim(_without(price_text, "$", ","))))
 
 
-def payment_info(description: Column) -> Column:
-    """Struct of monthly payment, down payment and total price; thousands commas allowed."""
+def payment_amounts(description: Column) -> dict[str, Column]:
+    """Monthly payment, down payment and total price; thousands commas allowed."""
     text = F.lower(description)
+    return {name: number(_without(F.regexp_extract(text, pattern, 1), ","))
+            for name, pattern in (("monthly", MONTHLY), ("down", DOWN), ("total", TOTAL))}
 
-    def amount(pattern: str) -> Column:
-        return number(_without(F.regexp_extract(text, pattern, 1), ","))
 
-    monthly, down, total = amount(MONTHLY), amount(DOWN), amount(TOTAL)
-    known = F.coalesce(monthly, down, total).isNotNull()
-    return F.struct(known.alias("has_payment_info"), monthly.alias("monthly_payment"),
-                    down.alias("down_payment"), total.alias("total_price"))
+def payment_info(amounts: dict[str, Column]) -> Column:
+    """Struct of the amounts with a flag for any of them being stated."""
+    known = F.coalesce(*amounts.values()).isNotNull()
+    return F.struct(known.alias("has_payment_info"), amounts["monthly"].alias("monthly_payment"),
+                    amounts["down"].alias("down_payment"), amounts["total"].alias("total_price"))
 
 
-def estimated_price(info: Column, term: int = 48) -> Column:
+def estimated_price(amounts: dict[str, Column], term: int = 48) -> Column:
     """Total price, else down payment + ``term`` monthly payments, else null. 0 is absent."""
     present = lambda c: F.nullif(c, F.lit(0.0))
-    financed = present(info["monthly_payment"]) * term + F.coalesce(info["down_payment"], F.lit(0.0))
-    return F.coalesce(present(info["total_price"]), financed)
-
-
-def raised_price(price: Column, description: Column) -> Column:
-    """The estimate where it is above the asked price."""
-    estimate = estimated_price(payment_info(description))
-    return F.when(estimate > price, estimate).otherwise(price)
+    financed = present(amounts["monthly"]) * term + F.coalesce(amounts["down"], F.lit(0.0))
+    return F.coalesce(present(amounts["total"]), financed)
 
 
 def financing_en(description: Column) -> Column:
@@ -110,19 +112,20 @@ def financing_en(description: Column) -> Column:
     ])
 
 
-def financing_pt(description: Column) -> Column:
-    """Struct of down, monthly, term, APR from Portuguese text (1.234,56), and the real price
-    monthly x term + down when all three are stated and not 0."""
-
+def financing_pt(description: Column) -> dict[str, Column]:
+    """Down, monthly, term and APR from Portuguese text (1.234,56)."""
     def amount(name: str) -> Column:
         text = F.regexp_extract(description, FINANCING_PT[name], 1)
         text = _without(text, ".") if name != "apr" else text
         return number(F.replace(text, F.lit(","), F.lit(".")))
 
-    down, monthly, term, apr = (amount(x) for x in ("down_payment", "monthly_payment", "term_months", "apr"))
-    stated = (monthly != 0) & (term != 0) & (down != 0)
-    return F.struct(down.alias("down_payment"), monthly.alias("monthly_payment"), term.cast("int").alias("term_months"),
-                    apr.alias("apr"), F.when(stated, monthly * term + down).alias("real_price"))
+    found = {name: amount(name) for name in FINANCING_PT}
+    return found | {"term_months": found["term_months"].cast("int")}
+
+
+def real_price_pt(down: Column, monthly: Column, term: Column) -> Column:
+    """monthly x term + down when all three are stated and not 0."""
+    return F.when((monthly != 0) & (term != 0) & (down != 0), monthly * term + down)
 
 
 def mentions(description: Column, word: str) -> Column:

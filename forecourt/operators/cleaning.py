@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt import schema as s
-from forecourt.functions.text import raised_price
 from forecourt.operators.joins import join_on
 from forecourt.operators.market import limit_of
 from forecourt.operators.quantiles import one_row, quantile_values, quantiles
+from forecourt.operators.words import with_raised_price
 
 
 def base_view(df: DataFrame, as_of_year: int) -> DataFrame:
@@ -154,12 +154,13 @@ def price_ledger(df: DataFrame, id_column: str, *, suspicious: Column | None = N
 def audit_ledger(df: DataFrame) -> DataFrame:
     """Second rule set: no price, then estimate from text, then limits by make."""
     price, make = F.col("price"), F.col("manufacturer")
-    raised = raised_price(price, F.col("description"))
+    raised = F.col("_raised")
     low = limit_of(make, s.AUDIT_LIMITS, s.AUDIT_DEFAULT_LIMITS, 0)
     high = limit_of(make, s.AUDIT_LIMITS, s.AUDIT_DEFAULT_LIMITS, 1)
     reason = (F.when(price.isNull() | (price <= 0), "no_price")
               .when(raised < low, "below_make_limit").when(raised > high, "above_make_limit"))
-    return df.withColumns({"reject_reason": reason, "price": raised})
+    rows = with_raised_price(df, name="_raised")
+    return rows.withColumns({"reject_reason": reason, "price": raised}).drop("_raised")
 
 
 def kept(ledger: DataFrame) -> DataFrame:
@@ -228,8 +229,9 @@ def comparables(df: DataFrame, requests: DataFrame, span: int = 2) -> DataFrame:
 
     names = ["priced", "avg_price", "min_price", "max_price", "std_price"]
     asked = F.explode(F.sequence(F.col("year") - span, F.col("year") + span))
-    spread = df.where(F.col("year").isNotNull()).select("manufacturer", "model", asked.alias("year"), "price")
     close_by, make_by = ["manufacturer", "model", "year"], ["manufacturer"]
+    spread = df.where(F.col("year").isNotNull()).select("manufacturer", "model", asked.alias("year"), "price")
+    spread = join_on(spread, requests.select(*close_by).distinct(), close_by, "left_semi")
     close = with_medians(summarise(spread, close_by, ["total_listings", *names], drop_null_keys=True),
                          spread.dropna(subset=close_by), close_by, median_price="price")
     make = with_medians(summarise(df, make_by, ["total_listings", *names], drop_null_keys=True),

@@ -25,13 +25,16 @@ def bucket_of(value: Column) -> Column:
 
 
 def value_counts(df: DataFrame, value: str, by: list[str], weight: str | None = None) -> DataFrame:
-    amount = F.sum(weight) if weight else F.count("*")
+    """Rows per group and distinct value, with the value's bucket.
+
+    With ``weight`` the rows are counts already and are only placed; a value may then
+    occur in several rows, which ranks do not mind.
+    """
     v = F.col(value).cast("double")
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, bucket_of(v).alias("_bucket"), v.alias("_value"))
-        .agg(amount.alias("_w"))
-    )
+    known = df.where(F.col(value).isNotNull())
+    if weight:
+        return known.select(*by, bucket_of(v).alias("_bucket"), v.alias("_value"), F.col(weight).alias("_w"))
+    return known.groupBy(*by, bucket_of(v).alias("_bucket"), v.alias("_value")).agg(F.count("*").alias("_w"))
 
 
 def placed_buckets(counts: DataFrame, by: list[str], amounts: list[str]) -> DataFrame:

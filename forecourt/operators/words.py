@@ -1,11 +1,12 @@
-"""Word counts and polarity of listing texts."""
+"""What listing texts say: financing terms, word counts, polarity."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.numbers import half_up
+from forecourt.functions import text as tx
 from forecourt.functions.text import words
 from forecourt.operators.aggregates import top_per_group
 from forecourt.operators.quantiles import quantile_values
@@ -24,6 +25,50 @@ POLARITY = {
 }
 
 
+def staged(df: DataFrame, found: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """Text searches as columns, so that each pattern runs once per row however often its
+    result is used afterwards."""
+    names = {k: f"_said_{k}" for k in found}
+    return df.withColumns({names[k]: c for k, c in found.items()}), {k: F.col(v) for k, v in names.items()}
+
+
+def _unstaged(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_said_")])
+
+
+def with_total_price(df: DataFrame, price: str = "price", description: str = "description", name: str = "terms",
+                     **options) -> DataFrame:
+    """Add the struct of :func:`total_price_of`."""
+    rows, terms = staged(df, tx.instalment_terms(F.col(description)))
+    return _unstaged(rows.withColumn(name, tx.total_price_of(F.col(price), F.col(description), terms, **options)))
+
+
+def with_text_price(df: DataFrame, price_text: str, description: str = "description", name: str = "price") -> DataFrame:
+    rows, terms = staged(df, tx.instalment_terms(F.col(description)))
+    return _unstaged(rows.withColumn(name, tx.price_from_text(F.col(price_text), terms)))
+
+
+def with_payment_info(df: DataFrame, description: str = "description", name: str = "payment_info",
+                      estimate: str = "estimate") -> DataFrame:
+    """Add the payment struct and the price estimated from it."""
+    rows, amounts = staged(df, tx.payment_amounts(F.col(description)))
+    return _unstaged(rows.withColumns({name: tx.payment_info(amounts), estimate: tx.estimated_price(amounts)}))
+
+
+def with_raised_price(df: DataFrame, price: str = "price", description: str = "description", name: str = "raised_price") -> DataFrame:
+    """Add the estimate where it is above the asked price, else the asked price."""
+    rows, amounts = staged(df, tx.payment_amounts(F.col(description)))
+    rows = rows.withColumn("_said_estimate", tx.estimated_price(amounts))
+    estimate = F.col("_said_estimate")
+    return _unstaged(rows.withColumn(name, F.when(estimate > F.col(price), estimate).otherwise(F.col(price))))
+
+
+def with_financing_pt(df: DataFrame, description: str = "description") -> DataFrame:
+    """Add down_payment, monthly_payment, term_months, apr and real_price."""
+    rows = df.withColumns(tx.financing_pt(F.col(description)))
+    return rows.withColumn("real_price", tx.real_price_pt(F.col("down_payment"), F.col("monthly_payment"), F.col("term_months")))
+
+
 def top_words_by_price(df: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent words in each price third, stop words left out."""
     edges = quantile_values(df, "price", {"a": 1 / 3, "b": 2 / 3})

@@ -242,15 +242,14 @@ e AS (SELECT *, coalesce(nullif(total_price, 0), nullif(monthly_payment, 0) * 48
 @query("payment_info", "TX3 TX4", f"""{_INFO} SELECT listing_id, coalesce(monthly_payment, down_payment, total_price) IS NOT NULL AS has_payment_info,
 monthly_payment, down_payment, total_price, estimate FROM e""")
 def _(k):
-    df = k.listings("listing_id", "description").select("listing_id", tx.payment_info(F.col("description")).alias("i"))
-    return df.select("listing_id", "i.*", tx.estimated_price(F.col("i")).alias("estimate"))
+    df = wd.with_payment_info(k.listings("listing_id", "description"))
+    return df.select("listing_id", "payment_info.*", "estimate")
 
 
 @query("raised_prices", "TX5", f"""{_INFO} SELECT manufacturer, {n('CASE WHEN estimate > price THEN 1 END')} AS raised,
 {r('avg(CASE WHEN estimate > price THEN estimate ELSE price END)')} AS avg_price FROM e GROUP BY 1""")
 def _(k):
-    df = k.listings("manufacturer", "price", "description").withColumn(
-        "better", tx.raised_price(F.col("price"), F.col("description")))
+    df = wd.with_raised_price(k.listings("manufacturer", "price", "description"), name="better")
     return df.groupBy("manufacturer").agg(F.count_if(F.col("better") > F.col("price")).alias("raised"),
                                           half_up(F.avg("better")).alias("avg_price"))
 
@@ -311,17 +310,16 @@ try_cast(nullif(regexp_extract(d, '(\d+)\s*(?:x|parcelas|vezes)', 1), '') as int
 {r('CASE WHEN mp IS NOT NULL THEN mp * coalesce(term, 48) + coalesce(dp, 0) WHEN description IS NOT NULL THEN price END')} AS total_price,
 CASE WHEN mp IS NOT NULL THEN coalesce(term, 48) END AS installments, price AS original_price FROM x""")
 def _(k):
-    df = k.listings("listing_id", "price", "description")
-    out = df.select("listing_id", tx.total_price(F.col("price"), F.col("description")).alias("t")).select("listing_id", "t.*")
+    out = wd.with_total_price(k.listings("listing_id", "price", "description")).select("listing_id", "terms.*")
     return out.withColumn("total_price", half_up("total_price"))
 
 
 @query("price_from_text", "TX2", f"""{_TOTAL} SELECT listing_id, {r('''CASE WHEN coalesce(times * mp, 0) + coalesce(dp, 0) != 0 THEN coalesce(times * mp, 0) + coalesce(dp, 0)
 ELSE cast(floor(price) as double) END''')} AS price FROM x""")
 def _(k):
-    df = k.listings("listing_id", "price", "description")
-    stated = F.concat(F.lit("$"), F.floor("price").cast("string"))
-    return df.select("listing_id", half_up(tx.price_from_text(stated, F.col("description"))).alias("price"))
+    df = k.listings("listing_id", "price", "description").withColumn(
+        "stated", F.concat(F.lit("$"), F.floor("price").cast("string")))
+    return wd.with_text_price(df, "stated").select("listing_id", half_up("price").alias("price"))
 
 
 _EN = {"down_payment": r"(?i)\$(\d+)\s*(?:down|entrada)", "monthly_payment": r"(?i)\$(\d+)\s*(?:monthly|mensal)",
@@ -357,8 +355,7 @@ y AS (SELECT *, CASE WHEN monthly_payment != 0 AND term_months != 0 AND down_pay
 def _pt(k):
     df = k.listings("listing_id", "manufacturer", "price", "description")
     said = F.replace("description", F.lit("x "), F.lit(" parcelas de R$ "))
-    return df.select("listing_id", "manufacturer", "price", tx.financing_pt(said).alias("f")).select(
-        "listing_id", "manufacturer", "price", "f.*")
+    return wd.with_financing_pt(df.withColumn("description", said)).drop("description")
 
 
 @query("financing_phrases_pt", "TX7", f"{_PT} SELECT listing_id, down_payment, monthly_payment, term_months, {r('real_price')} AS real_price FROM y WHERE term_months IS NOT NULL")

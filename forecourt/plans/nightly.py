@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.functions.numbers import half_up
-from forecourt.functions.text import total_price
 from forecourt.operators.aggregates import summarise, with_medians
 from forecourt.operators.anomalies import isolation_anomalies
 from forecourt.operators.cleaning import fill_unknown, within_load_limits
 from forecourt.operators.quality import clean_suite, gate, raw_suite
+from forecourt.operators.words import with_total_price
 from forecourt.sources import canonical, read_listings
 from forecourt.sources.files import run_report, with_run_metadata, write_listings, write_snapshot_once
 
@@ -32,8 +32,7 @@ class Transformed:
 
 def enrich_prices(df: DataFrame) -> DataFrame:
     """Financing terms from the text; the price becomes the total they imply."""
-    terms = total_price(F.col("price"), F.col("description"))
-    rows = df.withColumn("_t", terms).withColumns({
+    rows = with_total_price(df, name="_t").withColumns({
         "price_original": F.col("_t.original_price"),
         **{c: F.col(f"_t.{c}") for c in ("has_installments", "monthly_payment", "down_payment", "installments")},
         "price": F.coalesce("_t.total_price", "_t.original_price")})

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forecourt.functions import text as tx
+from forecourt.operators import words as wd
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +14,7 @@ def totals(spark):
         (4, 9000.0, "Jeep 4x4 impecável"), (5, 20000.0, "entrada 3000"), (6, 20000.0, None), (7, None, "36 × 400"), (8, 5.0, ""),
     ]
     df = spark.createDataFrame(rows, "id int, price double, description string")
-    return {r.id: r for r in df.select("id", tx.total_price(F.col("price"), F.col("description")).alias("t")).select("id", "t.*").collect()}
+    return {r.id: r for r in wd.with_total_price(df).select("id", "terms.*").collect()}
 
 
 @pytest.mark.parametrize("key, has, term, monthly, down, total", [
@@ -32,7 +33,7 @@ def test_times_sign_without_stated_term(totals):
 
 def test_min_payment_rejects_four_by_four(spark):
     df = spark.createDataFrame([(9000.0, "Jeep 4x4 impecável")], "price double, description string")
-    t = df.select(tx.total_price(F.col("price"), F.col("description"), min_payment=50).alias("t")).first().t
+    t = wd.with_total_price(df, min_payment=50).first().terms
     assert not t.has_installments and t.total_price == 9000.0
 
 
@@ -44,7 +45,7 @@ def one(spark, fn, text):
     ("$299 per month, down payment $1,500", 299.0, 1500.0, None), ("total price $12,500.50", None, None, 12500.5),
     ("350/mo", 350.0, None, None), ("nice car", None, None, None), (None, None, None, None)])
 def test_payment_info(spark, text, monthly, down, total):
-    r = one(spark, tx.payment_info, text)
+    r = one(spark, lambda d: tx.payment_info(tx.payment_amounts(d)), text)
     assert (r.monthly_payment, r.down_payment, r.total_price) == (monthly, down, total)
     assert r.has_payment_info == any(x is not None for x in (monthly, down, total))
 
@@ -52,12 +53,12 @@ def test_payment_info(spark, text, monthly, down, total):
 @pytest.mark.parametrize("text, estimate", [
     ("$299 per month, down payment $1,500", 299 * 48 + 1500), ("price $900 or $20 per month", 900.0), ("down payment $500", None)])
 def test_estimate(spark, text, estimate):
-    assert one(spark, lambda d: tx.estimated_price(tx.payment_info(d)), text) == estimate
+    assert one(spark, lambda d: tx.estimated_price(tx.payment_amounts(d)), text) == estimate
 
 
 def test_price_only_rises(spark):
-    df = spark.createDataFrame([(100.0, "$299 per month"), (99999.0, "$299 per month"), (None, "x")], "p double, d string")
-    got = [r.x for r in df.select(tx.raised_price(F.col("p"), F.col("d")).alias("x")).collect()]
+    df = spark.createDataFrame([(100.0, "$299 per month"), (99999.0, "$299 per month"), (None, "x")], "price double, description string")
+    got = [r.x for r in wd.with_raised_price(df, name="x").collect()]
     assert got == [299 * 48, 99999.0, None]
 
 
@@ -67,15 +68,16 @@ def test_financing_en(spark):
 
 
 def test_financing_pt(spark):
-    r = one(spark, tx.financing_pt, "Entrada de R$ 5.000,00 e 48 parcelas de R$ 1.234,56 com 12,5% a.a.")
+    said = ["Entrada de R$ 5.000,00 e 48 parcelas de R$ 1.234,56 com 12,5% a.a.", "48 parcelas de 100"]
+    r, other = wd.with_financing_pt(spark.createDataFrame([(t,) for t in said], "description string")).collect()
     assert (r.down_payment, r.monthly_payment, r.term_months, r.apr) == (5000.0, 1234.56, 48, 12.5)
     assert r.real_price == pytest.approx(1234.56 * 48 + 5000)
-    assert one(spark, tx.financing_pt, "48 parcelas de 100").real_price is None
+    assert other.real_price is None and other.monthly_payment == 100.0
 
 
 def test_price_from_text(spark):
-    df = spark.createDataFrame([("$12,500", "nice"), ("$1", "entrada 1000 e 10x 100"), ("call me", None)], "p string, d string")
-    got = [r.x for r in df.select(tx.price_from_text(F.col("p"), F.col("d")).alias("x")).collect()]
+    df = spark.createDataFrame([("$12,500", "nice"), ("$1", "entrada 1000 e 10x 100"), ("call me", None)], "p string, description string")
+    got = [r.x for r in wd.with_text_price(df, "p", name="x").collect()]
     assert got == [12500.0, 2000.0, None]
 
 
