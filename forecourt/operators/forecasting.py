@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from forecourt.functions.calendar import local_time
 from forecourt.operators.joins import keep_frequent
 from forecourt.operators.quantiles import one_row
+from forecourt.session import checkpoint_dir
 
 HORIZONS = (1, 7, 15, 30, 60)
 
@@ -40,6 +41,8 @@ def seasonal_forecast(daily: DataFrame, value: str, days: int, trend: bool = Tru
     after it (or from ``start`` on). The band is 1.96 residual standard deviations.
     """
     spark = daily.sparkSession
+    checkpoint_dir(spark)
+    daily = daily.checkpoint()  # a row per day, read several times below
     edge = daily.agg(F.min("period").alias("a"), F.max("period").alias("b")).first()
     if edge.a is None:
         raise ValueError("the series is empty")

@@ -215,12 +215,12 @@ def _(k):
 
 
 @query("removed_audit", "AG49", f"""{_LEDGER} SELECT reject_reason, {n()} AS listings, {r('avg(price)')} AS avg_price, {r('median(price)')} AS median_price,
-{n('DISTINCT state')} AS states, list_sort(list(DISTINCT year)) AS years FROM ledger WHERE reject_reason IS NOT NULL GROUP BY 1""")
+{n('DISTINCT state')} AS states, array_to_string(list_sort(list(DISTINCT year)), ',') AS years FROM ledger WHERE reject_reason IS NOT NULL GROUP BY 1""")
 def _(k):
     gone = cl.rejected(_ledger(k, "state"))
     stats = gone.groupBy("reject_reason").agg(
         F.count("*").alias("listings"), half_up(F.avg("price")).alias("avg_price"),
-        F.count_distinct("state").alias("states"), F.array_sort(F.collect_set("year")).alias("years"))
+        F.count_distinct("state").alias("states"), F.array_join(F.array_sort(F.collect_set("year")), ",").alias("years"))
     return with_medians(stats, gone, ["reject_reason"], median_price="price")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from forecourt.functions import bins
-from forecourt.functions.calendar import calendar_parts, local_time, season_flags
+from forecourt.functions.calendar import calendar_parts, days_between, local_time, season_flags
 from forecourt.functions.numbers import half_up, ratio
 from forecourt.operators import features as ft
 from forecourt.operators.aggregates import summarise
@@ -54,9 +54,9 @@ def _(k):
 
 @query("days_on_market", "SF4 WN8", """SELECT event_id, cast(floor(epoch((SELECT max(ts) FROM events) - ts) / 86400) as bigint) AS days FROM events""")
 def _(k):
-    df = k.table("events").select("event_id", F.date_trunc("second", F.col("ts")).alias("ts"), F.col("ts").alias("exact"))
-    last = df.agg(F.max("exact")).scalar()
-    return df.select("event_id", F.floor(F.timestamp_diff("MICROSECOND", "exact", last) / 86400e6).alias("days"))
+    df = k.table("events").select("event_id", "ts")
+    last = df.agg(F.max("ts")).scalar()
+    return df.select("event_id", days_between(last, F.col("ts")).alias("days"))
 
 
 @query("guarded_ratios", "SF5", f"""WITH a AS (SELECT *, 2001 - year AS age FROM listings)
