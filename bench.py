@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR   table directory (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 4)
-BENCH_RUNS     timed runs per query after one warm-up run (default 3; the median counts)
+BENCH_RUNS     timed runs per query after one warm-up run (default 1; the median counts)
 BENCH_QUERIES  comma-separated names instead of the headline set, or "all"
 """
 
@@ -28,7 +28,7 @@ HEADLINE = [
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     asked = os.environ.get("BENCH_QUERIES", "")
     names = list(ENTRIES) if asked == "all" else asked.split(",") if asked else HEADLINE
     spark = local_session(cores=int(os.environ.get("BENCH_CPUS", "4")), app="forecourt-bench")

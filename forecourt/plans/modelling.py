@@ -23,6 +23,7 @@ from forecourt.operators.joins import attach_group_stats
 from forecourt.operators.sampling import split
 from forecourt.operators.series import resample, robust_daily, trailing_mean
 from forecourt.plans.registry import n, query, r
+from forecourt.session import checkpoint_dir
 
 INPUTS = pr.Inputs()
 AS_OF = dt.date(2001, 11, 5)
@@ -87,9 +88,10 @@ def _(k):
 
 @query("local_outliers", "ML2")
 def _(k):
-    rows = nb.local_outlier_factor(k.listings("listing_id", "price", "year", "odometer"), "listing_id",
-                                   ["price", "year", "odometer"], k=10)
-    return rows.orderBy(F.desc("lof"), "listing_id").limit(20)
+    rows = nb.local_outliers(k.listings("listing_id", "price", "year", "odometer"), "listing_id",
+                             ["price", "year", "odometer"], k=10)
+    return rows.groupBy("is_outlier").agg(F.count("*").alias("listings"), half_up(F.avg("lof"), 4).alias("avg_lof"),
+                                          half_up(F.max("lof"), 4).alias("max_lof"))
 
 
 @query("neighbour_fill", "ST14")
@@ -197,7 +199,8 @@ def _(k):
 
 @query("price_forecast", "ML19 ML20 WN10")
 def _(k):
-    daily = robust_daily(k.listings("posting_date", "price"), "posting_date")
+    checkpoint_dir(k.spark)
+    daily = robust_daily(k.listings("posting_date", "price"), "posting_date").checkpoint()
     return fc.seasonal_forecast(daily, "price_median", 30, regressor="listing_count", regressor_ahead=trailing_mean(daily, "listing_count"))
 
 

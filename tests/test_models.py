@@ -123,6 +123,8 @@ def test_local_outlier_factor(spark):
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "id int, a double, b double")
     got = neighbours.local_outlier_factor(df, "id", ["a", "b"], k=10).orderBy(F.desc("lof")).first()
     assert got.id == 300 and got.lof > 3
+    flagged = neighbours.local_outliers(df, "id", ["a", "b"], k=10, contamination=0.01).where("is_outlier")
+    assert flagged.count() == 3 and flagged.where("id = 300").count() == 1
 
 
 def test_similar_listings(spark):

@@ -21,7 +21,7 @@ ELSEWHERE = {
     "IO8": "`sources.files.write_snapshot_once`; `tests/test_files.py::test_snapshot_is_written_once`",
     "IO10": "`sources.files.write_results`; `tests/test_files.py::test_results_as_csv_and_json`",
     "IO13": "`sources.files.with_run_metadata`, `run_report`; `tests/test_files.py::test_nightly_run`",
-    "SL2": "`summarise(order=, top=)`, as in SL1; query `local_outliers` lists the largest",
+    "SL2": "`summarise(order=, top=)`, `page`, as in SL1",
     "ML14": "`operators.pricing.save`, `load_or_train`; `tests/test_models.py::test_price_model_learns_and_reloads`",
 }
 
