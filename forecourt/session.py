@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # the JVM leaves methods above 8000 bytes uncompiled; very wide rows go operator by operator instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
