@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import quality_rules, sharding, url_rules
+from forecourt.llm import merge_bpe, quality_rules, sharding, simhash, url_rules
 from forecourt.llm.common import table
 
 #: Host, path and verdict of the URL rules.
@@ -15,6 +16,18 @@ URL_RULES = [
 ]
 
 
+def merge_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return merge_bpe.round_trips(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("key", "doc_id")
+
+
+def simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.near_duplicates(docs)
+    return found.select(F.col("key").alias("doc_id"), simhash.hex_digits("fingerprint").alias("fingerprint"),
+                        F.col("component").alias("component_id"))
+
+
 def sharding_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.assign_shards(docs, shards=40)
@@ -35,6 +48,8 @@ def url_prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_merge_encoding": merge_encoding,
+    "op6_simhash_bit_sliced": simhash_components,
     "op7_best_fit_sharding": sharding_best_fit,
     "op8_quality_rules": quality_rule_table,
     "op10_url_rules": url_prefix_rules,
