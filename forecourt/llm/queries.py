@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import merge_bpe, quality_rules, sharding, simhash, url_rules
+from forecourt.llm import merge_bpe, quality_rules, sharding, simhash, token_files, url_rules
 from forecourt.llm.common import table
 
 #: Host, path and verdict of the URL rules.
@@ -16,6 +16,11 @@ URL_RULES = [
 ]
 
 
+def huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2).withColumnRenamed("key", "doc_id")
+
+
 def merge_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return merge_bpe.round_trips(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("key", "doc_id")
@@ -48,6 +53,7 @@ def url_prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_huffman_token_files": huffman_token_files,
     "op5_merge_encoding": merge_encoding,
     "op6_simhash_bit_sliced": simhash_components,
     "op7_best_fit_sharding": sharding_best_fit,
