@@ -42,4 +42,22 @@ fits AS (SELECT k, arg_max(rule_host || rule_path, length(rule_host || rule_path
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict FROM urls LEFT JOIN fits USING (k)
 """
 
-ORACLES = {"op8_quality_rules": QUALITY, "op10_url_rules": URLS}
+_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+PASSAGES = f"""
+WITH docs AS (SELECT row_number() OVER () AS k, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}') AS words FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '{_WORD}') AS words FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(words), 10) AS n, array_to_string(words[s:s + 9], ' ') AS w
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS s FROM items WHERE len(words) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT k, n, p, array_to_string(words[p:p + n - 1], ' ') AS w
+  FROM (SELECT k, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM docs JOIN lengths ON len(words) >= n)),
+found AS (SELECT k, p, item_id, places.n AS n FROM places JOIN windows ON places.w = windows.w AND places.n = windows.n),
+hit AS (SELECT k, count(DISTINCT at_word) AS n_hit FROM (SELECT k, unnest(range(p, p + n)) AS at_word FROM found) GROUP BY k),
+listed AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT k, cast(item_id AS varchar) AS item FROM found) GROUP BY k)
+SELECT doc_id, cast(len(words) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS bigint) AS n_hit, cast(coalesce(n_items, 0) AS bigint) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM docs LEFT JOIN hit USING (k) LEFT JOIN listed USING (k)
+"""
+
+ORACLES = {"op9_positional_index": PASSAGES, "op8_quality_rules": QUALITY, "op10_url_rules": URLS}

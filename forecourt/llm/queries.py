@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import merge_bpe, quality_rules, sharding, simhash, token_files, url_rules
+from forecourt.llm import decontamination, merge_bpe, quality_rules, sharding, simhash, token_files, url_rules
 from forecourt.llm.common import table
 
 #: Host, path and verdict of the URL rules.
@@ -46,6 +46,13 @@ def quality_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_passages(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "n_hit", "n_items",
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
 def url_prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -58,5 +65,6 @@ QUERIES = {
     "op6_simhash_bit_sliced": simhash_components,
     "op7_best_fit_sharding": sharding_best_fit,
     "op8_quality_rules": quality_rule_table,
+    "op9_positional_index": benchmark_passages,
     "op10_url_rules": url_prefix_rules,
 }
