@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import decontamination, merge_bpe, quality_rules, sharding, simhash, token_files, url_rules
+from forecourt.llm import decontamination, merge_bpe, quality_rules, sharding, simhash, token_files, toxicity, url_rules
 from forecourt.llm.common import table
 
 #: Host, path and verdict of the URL rules.
@@ -16,6 +16,12 @@ URL_RULES = [
 ]
 
 
+def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("row.doc_id", "severity", "grade", "toxic")
+
+
 def huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.write_and_read(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2).withColumnRenamed("key", "doc_id")
@@ -60,6 +66,7 @@ def url_prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_ordinal_toxicity": ordinal_toxicity,
     "op4_huffman_token_files": huffman_token_files,
     "op5_merge_encoding": merge_encoding,
     "op6_simhash_bit_sliced": simhash_components,
