@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import decontamination, merge_bpe, quality_rules, sharding, simhash, token_files, toxicity, url_rules
+from forecourt.llm import decontamination, merge_bpe, quality_rules, sharding, simhash, site_templates, token_files, toxicity, url_rules
 from forecourt.llm.common import table
 
 #: Host, path and verdict of the URL rules.
@@ -16,6 +16,11 @@ URL_RULES = [
 ]
 
 
+def site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return site_templates.extract_pages(pages).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -66,6 +71,7 @@ def url_prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_site_templates": site_template_removal,
     "op3_ordinal_toxicity": ordinal_toxicity,
     "op4_huffman_token_files": huffman_token_files,
     "op5_merge_encoding": merge_encoding,
