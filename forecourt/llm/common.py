@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from forecourt.session import checkpoint_dir
 
@@ -43,3 +46,12 @@ def lower_ascii(c: Column) -> Column:
 def as_text(c: Column) -> Column:
     """Null reads as the empty text."""
     return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def arrow_type(df: DataFrame, column: str) -> pa.DataType:
+    return to_arrow_type(df.schema[column].dataType)
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows as Python values; unlike with pandas, null numbers stay apart and large ones exact."""
+    return zip(*(c.to_pylist() for c in batch.columns))

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,18 +229,19 @@ def round_trips(docs: DataFrame, path: str, text: str = "text", key: str = "doc_
     ids, empty decoded text). Rows are independent: repeated rows, ties and empty tables are fine.
     """
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         digits = [str(i) for i in range(own.none)]
         for batch in batches:
-            rows = []
-            for body in batch["body"]:
+            n_tokens, of_ids, of_texts = [], [], []
+            for body in batch.column("body").to_pylist():
                 ids = own.encode(body).tolist()
-                rows.append((len(ids), hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest(),
-                             hashlib.sha256(own.model.decode(ids).encode("utf-8") if ids else b"").hexdigest()))
-            yield pd.DataFrame({"key": batch["key"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows],
-                                "decoded_sha256": [r[2] for r in rows]})
+                n_tokens.append(len(ids))
+                of_ids.append(hashlib.sha256(",".join([digits[i] for i in ids]).encode()).hexdigest())
+                of_texts.append(hashlib.sha256(own.model.decode(ids).encode("utf-8") if ids else b"").hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n_tokens, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())],
+                                             ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     seen = docs.select(F.col(key).alias("key"), as_text(F.col(text)).alias("body"))
     kind = seen.schema["key"].dataType.simpleString()
-    return seen.mapInPandas(digests, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return seen.mapInArrow(digests, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import decontamination, merge_bpe, quality_rules, sharding, simhash, site_templates, token_files, toxicity, url_rules
+from forecourt.llm import chat_log, decontamination, merge_bpe, quality_rules, sharding, simhash, site_templates, token_files, toxicity, url_rules
 from forecourt.llm.common import table
 
 #: Host, path and verdict of the URL rules.
@@ -21,6 +21,16 @@ def site_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_templates.extract_pages(pages).select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+#: Turns of conversation -1, whose texts are control strings of a template.
+CONTROL_TURNS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")
+    return chat_log.write_and_read(rows.unionByName(own))
+
+
 def ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -72,6 +82,7 @@ def url_prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_site_templates": site_template_removal,
+    "op2_chat_event_log": chat_formatting,
     "op3_ordinal_toxicity": ordinal_toxicity,
     "op4_huffman_token_files": huffman_token_files,
     "op5_merge_encoding": merge_encoding,

@@ -17,16 +17,16 @@ whole again, and any store that Spark reaches can hold them.
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forecourt.llm.common import as_text, shared_folder
+from forecourt.llm.common import arrow_type, as_text, rows_of, shared_folder
 
 LIMIT = 20
 BLOCK = 262_144
@@ -209,17 +209,18 @@ def _width(size: int) -> str:
 def tokenize(docs: DataFrame, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, ids``: all ids of each text and the end id, packed as little-endian integers of 2 or 4 bytes."""
 
-    def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         width, end = _width(own.size), np.array([end_id], _width(own.size)).tobytes()
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at:at + 256]
-                packed = own.encode_all(part["body"].tolist())
-                yield pd.DataFrame({"key": part["key"], "ids": [np.frombuffer(x, np.uint32).astype(width).tobytes() + end for x in packed]})
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                packed = own.encode_all(part.column("body").to_pylist())
+                ids = [np.frombuffer(x, np.uint32).astype(width).tobytes() + end for x in packed]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
     seen = docs.select(F.col(key).alias("key"), as_text(F.col(text)).alias("body"))
-    return seen.mapInPandas(ids_of, f"key {seen.schema['key'].dataType.simpleString()}, ids binary")
+    return seen.mapInArrow(ids_of, f"key {seen.schema['key'].dataType.simpleString()}, ids binary")
 
 
 def count_ids(tokens: DataFrame, width: str) -> DataFrame:
@@ -252,25 +253,31 @@ def write_files(tokens: DataFrame, folder: str, width: str, limit: int = LIMIT,
     kind = tokens.schema["key"].dataType.simpleString()
     shared = spark.sparkContext.broadcast((symbols, lengths))  # bounded by the vocabulary
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key_type = arrow_type(tokens, "key")
+    doc_type = pa.struct([("key", key_type), ("doc", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("piece", pa.int32()), ("length", pa.int32())])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n_ids", pa.int32()), ("payload", pa.binary()),
+                        ("checkpoints", pa.list_(pa.int64())), ("docs", pa.list_(doc_type))])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, part = Code(*shared.value), TaskContext.get().partitionId()
         held, pieces, filled, number, doc, start = [], [], 0, 0, 0, 0
 
-        def full() -> pd.DataFrame:
+        def full() -> pa.RecordBatch:
             ids = np.concatenate(held)
             payload, checkpoints = code.encode(ids, every)
             names = ("key", "doc", "start", "n", "piece", "length")
-            return pd.DataFrame([{"part": part, "block": number, "n_ids": len(ids), "payload": payload, "checkpoints": checkpoints,
-                                  "docs": [dict(zip(names, p)) for p in pieces]}])
+            row = {"part": part, "block": number, "n_ids": len(ids), "payload": payload, "checkpoints": checkpoints,
+                   "docs": [dict(zip(names, p)) for p in pieces]}
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for key, packed in zip(batch["key"], batch["ids"]):
+            for key, packed in rows_of(batch):
                 ids = np.frombuffer(packed, width)
                 done = piece = 0
                 while done < len(ids):
                     take = min(block - filled, len(ids) - done)
                     held.append(ids[done:done + take])
-                    pieces.append((None if pd.isna(key) else key, doc, start, len(ids), piece, take))
+                    pieces.append((key, doc, start, len(ids), piece, take))
                     done, filled, piece = done + take, filled + take, piece + 1
                     if filled == block:
                         yield full()
@@ -280,7 +287,7 @@ def write_files(tokens: DataFrame, folder: str, width: str, limit: int = LIMIT,
             yield full()
 
     ordered = tokens.withColumn("tie", F.xxhash64("ids")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie")
-    ordered.select("key", "ids").mapInPandas(blocks, f"""part int, block int, n_ids int, payload binary, checkpoints array<long>,
+    ordered.select("key", "ids").mapInArrow(blocks, f"""part int, block int, n_ids int, payload binary, checkpoints array<long>,
         docs array<struct<key: {kind}, doc: long, start: long, n: long, piece: int, length: int>>""").write.parquet(f"{folder}/blocks")
 
 
