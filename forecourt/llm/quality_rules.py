@@ -74,7 +74,7 @@ def measure_texts(df: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("starts", F.when(F.col("sorted").isNotNull(), repeated))
     covered = F.expr(f"aggregate(sequence(1, size(starts)), 0, (n, k) -> n + if(k < size(starts), least({WINDOW}, starts[least(k, size(starts) - 1)] - starts[k - 1]), {WINDOW}))")
     stop = F.size(F.filter("words", lambda w: F.rtrim(F.lower(w), F.lit(".,;:")).isin(STOP_WORDS)))
-    return df.select(
+    measured = F.struct(
         "row", "n_words",
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -82,6 +82,8 @@ def measure_texts(df: DataFrame, text: str = "text") -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         stop.cast("long").alias("n_stop_words"),
         F.when(F.col("starts").isNotNull(), covered).otherwise(0).cast("long").alias("n_repeat_words"))
+    # a filter on the counts would otherwise be pushed below the steps they are made in, and repeat them per array element
+    return df.select(F.inline(F.array(measured)))
 
 
 def failed_rules(rules: tuple[Rule, ...] = RULES) -> Column:
