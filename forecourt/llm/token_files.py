@@ -16,6 +16,7 @@ whole again, and any store that Spark reaches can hold them.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from forecourt.llm.common import arrow_type, as_text, rows_of, shared_folder
 
@@ -147,15 +149,12 @@ class WordTokenizer:
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
-        from tokenizers import Tokenizer
-
         self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = self._splits_at_spaces(spec)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -164,32 +163,47 @@ class WordTokenizer:
         """Normalisation by NFC, space runs and case only; words matched by a pattern without spaces; added tokens as they stand."""
         normal = (spec["normalizer"] or {}).get("normalizers", [])
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        return (all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in normal)
+        return ({"NFC", "Lowercase"} <= {x["type"] for x in normal} and all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in normal)
                 and bool(steps) and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
                 and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
                 and all(x["type"] == "ByteLevel" and not x["use_regex"] and not x["add_prefix_space"] for x in steps[1:])
                 and not any(x["lstrip"] or x["rstrip"] or " " in x["content"] for x in spec["added_tokens"]))
 
+    def _pack(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Puts words in the table; a letter before a lone full stop or comma ends a word of its own."""
+        words, older, marks = self.words, self.older, dict(zip(".,", self._pack([".", ","])))
+        parts = {w: (w[:-1], w[-1]) if w[-1] in marks and w[-2:-1].isalpha() else (w, "") for w in missing}
+        found = {b: words.get(b) or older.get(b) for b, _ in parts.values()}
+        unseen = [b for b, v in found.items() if v is None]
+        found.update(zip(unseen, self._pack(unseen)))
+        words.update(found)
+        words.update((w, found[b] + marks[m]) for w, (b, m) in parts.items() if m)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers."""
-        pack = lambda x: np.array(x.ids, np.uint32).tobytes()
+        """Ids of each text, packed as integers of ``width``."""
         if not self.by_word:
-            return [pack(x) for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+            return self._pack(texts)
         if len(self.words) > self.cache:
-            self.older, self.words = self.words, {"": b""}
-        words, older, new = self.words, self.older, {}
-        words[""] = b""
-        found = [list(map(words.get, x)) for x in split]
-        for x, y in zip(split, found):
-            if None in y:
-                for w, v in zip(x, y):
-                    if v is None and w not in new:
-                        new[w] = older.get(w)
-        unseen = [w for w, v in new.items() if v is None]
-        new.update(zip(unseen, map(pack, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False))))
-        words.update(new)
-        return [b"".join(y if None not in y else map(words.__getitem__, x)) for x, y in zip(split, found)]
+            self.older, self.words = self.words, {}
+        self.words[""] = b""
+        get, split = self.words.get, [self._lower(t).replace("\n", " ").split(" ") for t in texts]
+        found = [list(map(get, x)) for x in split]
+        missing = {w for x, y in zip(split, found) if None in y for w, v in zip(x, y) if v is None}
+        if missing:
+            self._learn(missing)
+        return [b"".join(y if None not in y else map(get, x)) for x, y in zip(split, found)]
+
+    @staticmethod
+    def _lower(text: str) -> str:
+        """Lower case where the rules would make it so letter by letter: within Latin-1, and not in a special token's spelling."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text if "<|" in text else text.lower()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -202,21 +216,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _TOKENIZERS[path]
 
 
-def _width(size: int) -> str:
-    return "<u2" if size <= 1 << 16 else "<u4"
-
-
 def tokenize(docs: DataFrame, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, ids``: all ids of each text and the end id, packed as little-endian integers of 2 or 4 bytes."""
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        width, end = _width(own.size), np.array([end_id], _width(own.size)).tobytes()
+        end = np.array([end_id], own.width).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                packed = own.encode_all(part.column("body").to_pylist())
-                ids = [np.frombuffer(x, np.uint32).astype(width).tobytes() + end for x in packed]
+                ids = [x + end for x in own.encode_all(part.column("body").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
     seen = docs.select(F.col(key).alias("key"), as_text(F.col(text)).alias("body"))
@@ -349,5 +358,5 @@ def write_and_read(docs: DataFrame, path: str, end_id: int, text: str = "text",
     # entropy coding in the column store as well: packed ids are otherwise stored as they are
     tokenize(docs, path, end_id, text, key).write.option("compression", "zstd").parquet(f"{folder}/ids")
     tokens = spark.read.parquet(f"{folder}/ids")
-    write_files(tokens, folder, _width(tokenizer(path).size))
+    write_files(tokens, folder, tokenizer(path).width)
     return digest_files(spark, folder)
