@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from forecourt.llm.common import arrow_type, as_text, rows_of, shared_folder
@@ -321,18 +322,22 @@ def decode_pieces(spark: SparkSession, folder: str, every: int = EVERY) -> DataF
     shared = spark.sparkContext.broadcast(read_code(spark, folder))
     kind = blocks.schema["docs"].dataType.elementType["key"].dataType.simpleString()
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    key_type = to_arrow_type(blocks.schema["docs"].dataType.elementType["key"].dataType)
+    types = {"key": key_type, "part": pa.int32(), "doc": pa.int64(), "start": pa.int64(), "n": pa.int64(), "piece": pa.int32(), "ids": pa.binary()}
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(*shared.value)
         for batch in batches:
-            for row in batch.itertuples():
-                ids = code.decode(row.payload, row.n_ids, row.checkpoints, every)
-                docs = list(row.docs)
+            for part, n_ids, payload, checkpoints, docs, offset in rows_of(batch):
+                ids = code.decode(payload, n_ids, np.array(checkpoints, np.int64), every)
                 at = np.cumsum([0, *(d["length"] for d in docs)])
-                yield pd.DataFrame({"key": pd.Series([d["key"] for d in docs], dtype=object), "part": row.part, "doc": [d["doc"] for d in docs],
-                                    "start": [d["start"] + row.offset for d in docs], "n": [d["n"] for d in docs],
-                                    "piece": [d["piece"] for d in docs], "ids": [ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])]})
+                found = {"key": [d["key"] for d in docs], "part": [part] * len(docs), "doc": [d["doc"] for d in docs],
+                         "start": [d["start"] + offset for d in docs], "n": [d["n"] for d in docs], "piece": [d["piece"] for d in docs],
+                         "ids": [ids[a:b].astype("<u4").tobytes() for a, b in zip(at, at[1:])]}
+                yield pa.RecordBatch.from_arrays([pa.array(found[k], t) for k, t in types.items()], list(types))
 
-    return blocks.mapInPandas(decode, f"key {kind}, part int, doc long, start long, n long, piece int, ids binary")
+    return blocks.select("part", "n_ids", "payload", "checkpoints", "docs", "offset").mapInArrow(
+        decode, f"key {kind}, part int, doc long, start long, n long, piece int, ids binary")
 
 
 def _whole_crc(parts: pd.Series) -> pd.Series:
