@@ -3,7 +3,7 @@
 A page is parsed into a light tree. Elements that name themselves as furniture (``nav``, ``footer``,
 ``class="cookie-notice"`` and the like) go. Of the rest, subtrees are hashed by tags and text,
 and Spark counts each hash per host over pages of different prose; a subtree that recurs on many pages of the host is
-template and is deleted. Prose of a marked article (``article`` or ``main``) is never counted, so a
+template and is deleted. Paragraphs, lists and tables of a marked article (``article`` or ``main``) are never counted, so a
 passage or licence line that many articles share stays; where nothing is marked, any block may be template.
 
 Counting is by host and hash with partial sums, so a host with a third of all pages is added up by
@@ -147,7 +147,7 @@ def _hashes(page: Page, kept: list[bool], marked: bool) -> dict[int, int]:
     for i in range(n - 1, 0, -1):
         up = page.parent[i]
         has_text[up] |= has_text[i]
-        holds_prose[up] |= holds_prose[i] or page.tag[i] in PROSE and page.tag[i] != "li"
+        holds_prose[up] |= holds_prose[i] or page.tag[i] in PROSE
     may = [False] * n
     for i in range(1, n):
         inside = kept[i] and has_text[i] and kept[page.parent[i]] and page.tag[i] in BLOCKS and page.tag[i] not in ("html", "body")
