@@ -6,6 +6,7 @@ numbers pass through here.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -15,13 +16,18 @@ from pyspark.sql import functions as F
 
 
 def _gamma_tail(a: float, x: float) -> float:
-    """Upper regularised incomplete gamma: series below a + 1, continued fraction above."""
+    """Upper regularised incomplete gamma: series below a + 1, continued fraction above.
+
+    Both need about the square root of ``a`` steps; far up the cube root of the statistic is normal.
+    """
     if x <= 0:
         return 1.0
+    if a > 1e4:
+        return math.erfc(((x / a) ** (1 / 3) - 1 + 1 / (9 * a)) * math.sqrt(9 * a) / math.sqrt(2)) / 2
     front = math.exp(-x + a * math.log(x) - math.lgamma(a))
     if x < a + 1:
         term = total = 1.0 / a
-        for i in range(1, 2000):
+        for i in itertools.count(1):
             term *= x / (a + i)
             total += term
             if term < total * 1e-15:
@@ -30,7 +36,7 @@ def _gamma_tail(a: float, x: float) -> float:
     b = x + 1 - a
     c, d = 1e300, 1.0 / b
     h = d
-    for i in range(1, 2000):
+    for i in itertools.count(1):
         an = -i * (i - a)
         b += 2
         d = 1.0 / (an * d + b or 1e-300)

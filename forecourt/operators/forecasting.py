@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.calendar import local_time
-from forecourt.operators.joins import keep_frequent
-from forecourt.operators.quantiles import one_row
+from forecourt.operators.joins import join_on
 from forecourt.session import checkpoint_dir
 
 HORIZONS = (1, 7, 15, 30, 60)
@@ -146,26 +145,32 @@ def listing_forecast(df: DataFrame, as_of: dt.date, traits: tuple[str, ...] = ("
     rows = rows.withColumns(_date_features(local)).withColumn("vehicle_age", F.col("posting_year") - F.col("year"))
     daily = rows.groupBy(local.cast("date").alias("period")).agg(F.count("*").alias("y"))
     volume = volume_forecast(daily, "y", days=max(horizons), start=as_of)
+    every = rows.groupBy(*_DATE_FEATURES, *traits).agg(F.count("*").alias("_n"), F.sum("price").alias("_price")).persist()
+    # each value is counted over all listings, whichever of their other values are rare
+    counted = every
     for c in traits:
-        rows = keep_frequent(rows, c, min_count=min_count)
-    counted = rows.groupBy(*_DATE_FEATURES, *traits).agg(F.count("*").alias("_n"), F.sum("price").alias("_price")).persist()
-    ahead = spark.createDataFrame([(h, as_of + dt.timedelta(days=h)) for h in horizons], "horizon_days int, date date")
-    ahead = ahead.withColumns(_date_features(F.col("date"))).withColumn(
-        "vehicle_age", one_row(counted.agg((F.sum(F.col("vehicle_age") * F.col("_n")) / F.sum("_n")).alias("a")))["a"])
+        often = every.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum("_n").alias("_all")).where(F.col("_all") >= min_count)
+        counted = join_on(counted, often.select(c), [c], "left_semi")
+    counted = counted.persist()
     gather = VectorAssembler(inputCols=_DATE_FEATURES, outputCol="features")
     try:
+        age = counted.agg(F.sum(F.col("vehicle_age") * F.col("_n")) / F.sum("_n")).first()[0]
+        ahead = spark.createDataFrame([(h, as_of + dt.timedelta(days=h), age) for h in horizons], "horizon_days int, date date, vehicle_age double")
+        ahead = ahead.withColumns(_date_features(F.col("date")))
         mean = counted.groupBy(*_DATE_FEATURES).agg(F.sum("_n").cast("double").alias("weight"), (F.sum("_price") / F.sum("_n")).alias("price"))
         price = Pipeline(stages=[gather, GBTRegressor(labelCol="price", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.1,
                                                       seed=42, predictionCol="predicted_price")]).fit(mean)
-        out = price.transform(ahead).drop("features")
+        out = price.transform(ahead).select("horizon_days", "date", "predicted_price")
         for c in traits:
             per = counted.groupBy(*_DATE_FEATURES, c).agg(F.sum("_n").alias("_k"))
             sizes = per.groupBy(c).agg(F.sum("_k").alias("_class"))
             labelled = per.join(sizes, c).withColumn("weight", F.col("_k") / F.col("_class"))
             model = _classifier(gather, c, trees, depth).fit(labelled)
-            out = _named(model, out, c)
+            # a plan of its own for each trait: chained models make one stage too large to ship
+            out = out.join(_named(model, ahead, c).select("horizon_days", f"predicted_{c}"), "horizon_days")
     finally:
         counted.unpersist()
+        every.unpersist()
     out = out.join(volume.withColumnRenamed("period", "date"), "date", "left")
     return out.select("horizon_days", "date", "expected_volume", F.floor("predicted_price").alias("predicted_price"),
                       *[f"predicted_{c}" for c in traits])

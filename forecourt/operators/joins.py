@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from forecourt.session import checkpoint_dir
+
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
             nulls_match: bool = False) -> DataFrame:
@@ -45,10 +48,18 @@ def attach_group_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFram
 
     Aggregates first (partial sums on the map side) and joins the small result back, so a
     group holding a third of the rows never has to fit one task as it would in a window.
-    A null key gets null statistics.
+    The statistics are a written table of known size: if they are small, they are broadcast and
+    the rows stay where they are, not shuffled by a key of a few values. A null key gets null statistics.
     """
     stats = df.dropna(subset=by).groupBy(*by).agg(*[c.alias(k) for k, c in aggs.items()])
-    return join_on(df, stats, by, "left")
+    return join_on(df, known_size(stats), by, "left")
+
+
+def known_size(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read again, so that joins know how large it is."""
+    path = f"{checkpoint_dir(df.sparkSession)}/forecourt/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def first_price_by_key(cars: DataFrame, prices: DataFrame, keys: list[str], order: str) -> DataFrame:

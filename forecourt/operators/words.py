@@ -21,7 +21,7 @@ more most other some such no nor not only own same so than too very s t can will
 POLARITY = {
     "clean": 0.4, "new": 0.1, "like": 0.0, "great": 0.8, "excellent": 1.0, "good": 0.7, "nice": 0.6, "best": 1.0,
     "perfect": 1.0, "reliable": 0.5, "bad": -0.7, "poor": -0.4, "broken": -0.4, "damaged": -0.5, "rough": -0.1,
-    "dirty": -0.6, "salvage": -0.3, "terrible": -1.0, "worst": -1.0, "on": 0.0, "her": 0.1, "there": -0.1, "here": 0.2,
+    "dirty": -0.6, "salvage": -0.3, "terrible": -1.0, "worst": -1.0,
 }
 
 

@@ -51,7 +51,7 @@ def _(k):
 
 @query("segment_elbow", "ML4")
 def _(k):
-    return sg.elbow(k.listings("price", "year", "odometer"), ks=range(1, 6))
+    return sg.elbow(k.listings("price", "year", "odometer"))
 
 
 @query("density_clusters", "ML5")
@@ -75,7 +75,7 @@ def _(k):
 @query("isolation_anomalies", "ML1")
 def _(k):
     rows = an.isolation_anomalies(k.listings("listing_id", "price", "year", "odometer"), ["price", "year", "odometer"],
-                                  "listing_id", trees=50)
+                                  "listing_id")
     return rows.groupBy("is_anomaly").agg(F.count("*").alias("listings"), half_up(F.avg("price")).alias("avg_price"),
                                           half_up(F.avg("anomaly_score"), 4).alias("avg_score"))
 
@@ -89,7 +89,7 @@ def _(k):
 @query("local_outliers", "ML2")
 def _(k):
     rows = nb.local_outliers(k.listings("listing_id", "price", "year", "odometer"), "listing_id",
-                             ["price", "year", "odometer"], k=10)
+                             ["price", "year", "odometer"])
     return rows.groupBy("is_outlier").agg(F.count("*").alias("listings"), half_up(F.avg("lof"), 4).alias("avg_lof"),
                                           half_up(F.max("lof"), 4).alias("max_lof"))
 

@@ -80,4 +80,4 @@ def run(spark: SparkSession, source: str, target: str, as_of: dt.date) -> dict:
     write_snapshot_once(staged, f"{target}/reference")
     removed = spark.read.parquet(f"{target}/removed").count()
     report = run_report(outgoing, started, staged.columns)
-    return {**report, "input_rows": raw.count(), "removed_rows": removed}
+    return {**report, "input_rows": incoming.get["rows"], "removed_rows": removed}
