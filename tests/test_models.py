@@ -110,6 +110,18 @@ def test_neighbours_against_brute_force(spark):
     assert hits / (5 * 600) > 0.9
 
 
+def test_neighbours_are_the_same_on_any_partitions(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    df = spark.range(1000).select("id", (F.xxhash64("id") % 1000 / 1000.0).alias("a"), (F.xxhash64("id", F.lit(1)) % 7 / 7.0).alias("b"))
+    lists, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        near = neighbours.neighbours(df.repartition(n), "id", ["a", "b"], 5).collect()
+        lists.append({r.id: [(e.other, e.distance) for e in r.near] for r in near})
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert lists[0] == lists[1] == lists[2] and len(lists[0]) == 1000 and all(len(x) == 5 for x in lists[0].values())
+
+
 def test_neighbour_fill(spark):
     rows = [(i, float(i % 10), float(i % 10), 10.0 * (i % 10)) for i in range(200)] + [(900, 3.0, 3.0, None), (901, None, 3.0, None)]
     df = spark.createDataFrame(rows, "id int, a double, b double, t double")
