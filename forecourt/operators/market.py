@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt.functions.numbers import half_up, ratio
+from forecourt.functions.tails import t_p
 from forecourt.operators.aggregates import share_of_total, summarise, top_per_group
 from forecourt.operators.joins import join_on
 from forecourt.operators.quantiles import bucket_of, quantiles, value_counts
@@ -128,12 +129,16 @@ def positioning(df: DataFrame, target: str) -> DataFrame:
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / free
     spot = (F.col("below") + F.col("upto")) * 50.0 / F.col("n2")
     gap = F.col("m1") - F.col("m2")
+    t = gap / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))
+    s = s.withColumn("_p", t_p(t, free))  # one row
     return s.select(
         F.lit(target).alias("manufacturer"),
         half_up(gap).alias("price_difference"),
         half_up(gap / F.col("m2") * 100).alias("price_difference_pct"),
-        half_up(gap / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2"))), 4).alias("t_statistic"),
+        half_up(t, 4).alias("t_statistic"),
         free.alias("degrees_of_freedom"),
+        F.col("_p").alias("p_value"),
+        (F.col("_p") < 0.05).alias("is_significant"),
         half_up(spot, 4).alias("market_percentile"),
         F.when(spot > 75, "premium").when(spot > 25, "competitive").otherwise("economic").alias("positioning"),
     )

@@ -205,3 +205,13 @@ def test_imputation_report(spark):
     r = statistics.imputation_report(df, after, ["x"]).first()
     assert (r.missing_before, r.missing_after, r.mean_before, r.mean_after) == (1, 0, 2.0, 2.0)
     assert r.ks_statistic == pytest.approx(1 / 3 - 1 / 4, abs=1e-5)
+
+
+def test_tails_at_high_freedom_and_against_tables():
+    from forecourt.functions.tails import chi_square_tail, t_two_sided
+
+    # Printed tables of the t and chi-square distributions.
+    assert abs(t_two_sided(2.0003, 60) - 0.05) < 1e-4 and abs(t_two_sided(12.706, 1) - 0.05) < 1e-5
+    assert abs(chi_square_tail(124.342, 100) - 0.05) < 1e-5
+    assert abs(chi_square_tail(1e7, 1e7) - 0.5) < 1e-3 and abs(chi_square_tail(30_000, 30_000) - 0.5) < 2e-3
+    assert abs(chi_square_tail(20_403.4, 20_002) - chi_square_tail(20_401.4, 20_000)) < 1e-3
