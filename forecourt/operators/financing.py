@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.numbers import half_up
 from forecourt.operators.aggregates import summarise
+from forecourt.operators.cleaning import search
 from forecourt.operators.joins import join_on
 
 FINANCE = ["total_listings", "total_financed", "financing_percentage",
@@ -79,6 +80,13 @@ def refreshed_stats(stored: DataFrame, df: DataFrame, key: str) -> DataFrame:
         "total_installment_cars", F.coalesce("total_installment_cars", F.lit(0).cast("bigint")))
 
 
+def served_stats(listings: DataFrame, stored: DataFrame, by: list[str], names: list[str], **filters) -> DataFrame:
+    """Stored statistics as they are if nothing is asked of the listings, else computed from those that fit."""
+    if all(v is None for v in filters.values()):
+        return stored.select(*by, *names)
+    return zero_averages(summarise(search(listings, **filters), by, names))
+
+
 def installment_stats(df: DataFrame) -> DataFrame:
     """Financing figures by make, model and year with the change from the original price."""
     now, before = F.avg("price"), F.avg("price_original")

@@ -8,7 +8,7 @@ from forecourt.functions.numbers import half_up
 from forecourt.operators import financing as fin
 from forecourt.operators.aggregates import summarise
 from forecourt.operators.cleaning import price_category, search
-from forecourt.operators.joins import upsert
+from forecourt.operators.joins import known_size, upsert
 from forecourt.operators.quantiles import quantiles
 from forecourt.plans.registry import m, n, query, r
 
@@ -32,6 +32,14 @@ def _(k):
     return fin.zero_averages(summarise(rows, ["manufacturer"], [*_SERVED, "avg_year"]))
 
 
+@query("make_stats_stored", "AG18", f"""SELECT manufacturer, {m('total_listings')}, {zeros('avg_price min_price max_price')},
+{m('total_financed')}, {zeros(COND)} FROM listings GROUP BY 1""")
+def _(k):
+    listings = k.listings("manufacturer", "year", "price", *TERMS)
+    stored = known_size(fin.zero_averages(summarise(listings, ["manufacturer"], _SERVED)))
+    return fin.served_stats(listings, stored, ["manufacturer"], _SERVED, min_year=None, max_price=None)
+
+
 @query("state_stats_filtered", "AG16", f"""SELECT state, {m('total_listings')}, {zeros('avg_price min_price max_price')},
 {m('total_financed')}, {zeros(COND)} FROM listings WHERE year >= 1996 AND manufacturer ILIKE '%brand#1%' GROUP BY 1""")
 def _(k):
