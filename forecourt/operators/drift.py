@@ -48,10 +48,10 @@ def chi_square(cells: DataFrame, by: list[str], row: str, column: str, amount: s
     A missing cell adds its expected count, which is the row total times the column total
     over the grand total; summed that is what the present cells leave of the grand total.
     """
-    rows, columns = Window.partitionBy(*by, row), Window.partitionBy(*by, column)
-    whole = Window.partitionBy(*by)
-    c = cells.withColumns({
-        "_r": F.sum(amount).over(rows), "_c": F.sum(amount).over(columns), "_t": F.sum(amount).over(whole)})
+    # totals are aggregated and joined back, so no task holds all cells of a column
+    c = cells
+    for name, keys in (("_r", [*by, row]), ("_c", [*by, column]), ("_t", by)):
+        c = join_on(c, cells.groupBy(*keys).agg(F.sum(amount).alias(name)), keys, nulls_match=True)
     expected = F.col("_r") * F.col("_c") / F.col("_t")
     gap = F.abs(F.col(amount) - expected)
     figures = c.groupBy(*by).agg(

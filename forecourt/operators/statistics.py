@@ -216,9 +216,8 @@ def imputation_report(before: DataFrame, after: DataFrame, numeric: list[str]) -
 def category_change(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
     """Change of each category's share, before minus after."""
     from forecourt.operators.drift import aligned_counts
-    from pyspark.sql import Window
 
-    w = Window.partitionBy("column_name")
     counts = aligned_counts(before, after, columns)
-    return counts.select("column_name", "value", half_up(
-        F.col("reference") / F.sum("reference").over(w) - F.col("current") / F.sum("current").over(w), 6).alias("change"))
+    totals = counts.groupBy("column_name").agg(F.sum("reference").alias("_reference"), F.sum("current").alias("_current"))
+    return join_on(counts, totals, ["column_name"]).select("column_name", "value", half_up(
+        F.col("reference") / F.col("_reference") - F.col("current") / F.col("_current"), 6).alias("change"))
