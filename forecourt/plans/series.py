@@ -121,7 +121,7 @@ def _(k):
 
 @query("stratified_sample", "SL4")
 def _(k):
-    return sm.stratified_sample(k.listings("listing_id", "price", *_STRATA), _STRATA, "listing_id", 5000)
+    return sm.stratified_sample(k.listings("listing_id", "price", *_STRATA), _STRATA, "listing_id")
 
 
 @query("bounded_sample", "SL5")
@@ -129,6 +129,19 @@ def _(k):
     return sm.bounded_sample(k.listings("listing_id", "price", "latitude", "longitude"), "listing_id")
 
 
+@query("bounded_sample_size", "SL5", """SELECT least(count(*), 5000) AS listings FROM listings""")
+def _(k):
+    return sm.bounded_sample(k.listings("listing_id", "price"), "listing_id").agg(F.count("*").alias("listings"))
+
+
+@query("train_test_rows", "SL6", """SELECT count(*) AS listings, cast(0 as bigint) AS in_both FROM listings""")
+def _(k):
+    train, test = sm.split(k.listings("listing_id", "price"), "listing_id")
+    both = train.select("listing_id").intersect(test.select("listing_id"))
+    sizes = train.unionByName(test).agg(F.count("*").alias("listings"))
+    return sizes.withColumn("in_both", both.agg(F.count("*")).scalar())
+
+
 @query("train_test_sizes", "SL6")
 def _(k):
     train, test = sm.split(k.listings("listing_id", "price"), "listing_id")
