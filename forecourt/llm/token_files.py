@@ -176,12 +176,17 @@ class WordTokenizer:
     def _learn(self, missing: set[str]) -> None:
         """Puts words in the table; a letter before a lone full stop or comma ends a word of its own."""
         words, older, marks = self.words, self.older, dict(zip(".,", self._pack([".", ","])))
-        parts = {w: (w[:-1], w[-1]) if w[-1] in marks and w[-2:-1].isalpha() else (w, "") for w in missing}
-        found = {b: words.get(b) or older.get(b) for b, _ in parts.values()}
-        unseen = [b for b, v in found.items() if v is None]
+        found: dict[str, bytes | None] = {}
+        ended = []
+        for w in missing:
+            if w[-1] in marks and w[-2:-1].isalpha():
+                ended.append(w)
+                w = w[:-1]
+            found[w] = words.get(w) or older.get(w)
+        unseen = [w for w, v in found.items() if v is None]
         found.update(zip(unseen, self._pack(unseen)))
         words.update(found)
-        words.update((w, found[b] + marks[m]) for w, (b, m) in parts.items() if m)
+        words.update([(w, found[w[:-1]] + marks[w[-1]]) for w in ended])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as integers of ``width``."""
@@ -190,12 +195,12 @@ class WordTokenizer:
         if len(self.words) > self.cache:
             self.older, self.words = self.words, {}
         self.words[""] = b""
-        get, split = self.words.get, [self._lower(t).replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(get, x)) for x in split]
-        missing = {w for x, y in zip(split, found) if None in y for w, v in zip(x, y) if v is None}
+        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*split).difference(self.words)
         if missing:
             self._learn(missing)
-        return [b"".join(y if None not in y else map(get, x)) for x, y in zip(split, found)]
+        get = self.words.__getitem__
+        return [b"".join(map(get, x)) for x in split]
 
     @staticmethod
     def _lower(text: str) -> str:
