@@ -2,12 +2,12 @@
 
 A page is parsed into a light tree. Elements that name themselves as furniture (``nav``, ``footer``,
 ``class="cookie-notice"`` and the like) go. Of the rest, subtrees are hashed by tags and text,
-and Spark counts each hash per host over pages of different prose; a subtree that recurs on many pages of the host is
+and Spark counts each hash per host over pages of different prose; a subtree that recurs on a share of the host's pages is
 template and is deleted. Paragraphs, lists and tables of a marked article (``article`` or ``main``) are never counted, so a
 passage or licence line that many articles share stays; where nothing is marked, any block may be template.
 
 Counting is by host and hash with partial sums, so a host with a third of all pages is added up by
-all tasks, and the recurring hashes go back to their pages by a join that adaptive execution splits.
+all tasks, its pages are counted as one more subtree, and the recurring hashes go back to their pages by a join that adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from forecourt.llm.common import as_text, written
 from forecourt.llm.url_rules import url_host
 
-#: Pages of different prose on which a subtree must recur within a host to be template.
-MIN_PAGES = 5
+#: Pages of different prose on which a subtree must recur within a host to be template, and their least share of the host's.
+MIN_PAGES, MIN_SHARE = 5, 0.2
+#: Stands for the page itself among its subtrees, so that a host's pages are counted with them.
+WHOLE = 0
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = set("""address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer
@@ -191,17 +193,16 @@ def template_candidates(html: str) -> tuple[int, list[int]]:
     page = Page(html)
     kept, marked = _kept(page)
     found = _hashes(page, kept, marked)
-    if not found:
-        return 0, []
     prose = "".join(t for node, t in page.events if t and kept[node] and page.tag[node] in PROSE)
-    return xxhash.xxh64_intdigest(prose.encode("utf-8", "replace")) >> 1, sorted(set(found.values()))
+    return xxhash.xxh64_intdigest(prose.encode("utf-8", "replace")) >> 1, sorted({WHOLE, *found.values()})
 
 
-def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """``row`` (all input columns) with ``text``, the page's main text without its site's template.
 
     Null or empty html gives empty text. The site is the URL's host; pages without one share the
-    empty host. Pages of equal prose count once towards ``min_pages``, so copies of an article do not turn it
+    empty host. Template recurs on ``min_pages`` pages and on ``min_share`` of the host's, so that what a few pages of a
+    large host share stays. Pages of equal prose count once, so copies of an article do not turn it
     into template; repeated rows are extracted alike, and an empty table gives no rows.
     """
 
@@ -217,8 +218,11 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", min_pa
     nodes = written(seen.select("row_key", "host", "body").mapInPandas(
         candidates, "row_key long, host string, prose long, hashes array<long>"), "subtrees")
     subtrees = nodes.select("row_key", "host", "prose", F.explode("hashes").alias("subtree"))
-    template = (subtrees.select("host", "subtree", "prose").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
-                .where(F.col("pages") >= min_pages).select("host", "subtree"))
+    recurring = written(subtrees.select("host", "subtree", "prose").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
+                        .where(F.col("pages") >= min_pages), "recurring")
+    hosts = recurring.where(F.col("subtree") == WHOLE).select("host", F.col("pages").alias("of"))
+    template = (recurring.where(F.col("subtree") != WHOLE).join(hosts, "host")
+                .where(F.col("pages") >= min_share * F.col("of")).select("host", "subtree"))
     dropped = subtrees.join(template, ["host", "subtree"]).groupBy("row_key").agg(F.collect_set("subtree").alias("dropped"))
     dropped = written(dropped, "template")
 

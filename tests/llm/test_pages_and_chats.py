@@ -37,6 +37,16 @@ def test_recurring_subtrees_are_removed_per_host(spark):
     assert site_templates.extract_pages(df.limit(0)).count() == 0
 
 
+def test_template_recurs_on_a_share_of_the_hosts_pages(spark):
+    page = "<div>Menu</div><p>own words %d</p><p>%s</p>"
+    rows = [(i, f"http://a.com/{i}", page % (i, "a shared line" if i < 6 else f"line {i}")) for i in range(60)]
+    rows += [(100 + i, f"http://b.com/{i}", page % (i, "a shared line")) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_templates.extract_pages(df).select("row.page_id", "text").collect()}
+    assert all(got[i] == f"own words {i} a shared line" for i in range(6)) and got[6] == "own words 6 line 6"
+    assert all(got[100 + i] == f"own words {i}" for i in range(6))
+
+
 def test_given_pages_equal_their_article(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in QUERIES["op1_site_templates"](spark, sf_dir).collect():
