@@ -1,10 +1,11 @@
 """Main text of web pages, with the templates of their sites removed.
 
 A page is parsed into a light tree. Elements that name themselves as furniture (``nav``, ``footer``,
-``class="cookie-notice"`` and the like) go. Of the rest, subtrees are hashed by tags and text,
-and Spark counts each hash per host over pages of different prose; a subtree that recurs on a share of the host's pages is
-template and is deleted. Paragraphs, lists and tables of a marked article (``article`` or ``main``) are never counted, so a
-passage or licence line that many articles share stays; where nothing is marked, any block may be template.
+``class="cookie-notice"`` and the like) go. All other blocks of the page, inside and outside a marked article (``article`` or
+``main``), are hashed by tags and text, and Spark counts each hash per host over pages of different prose; a subtree that recurs
+on a share of the host's pages is template and is deleted. Article prose (paragraphs, lists and tables of a marked article) must
+recur on more pages and a larger share of them, so a passage or licence line that some articles share stays. Blocks outside the
+article stay if they are no template; on a host with too few pages to tell, the article alone is the main text.
 
 Counting is by host and hash with partial sums, so a host with a third of all pages is added up by
 all tasks, its pages are counted as one more subtree, and the recurring hashes go back to their pages by a join that adaptive execution splits.
@@ -26,7 +27,9 @@ from forecourt.llm.url_rules import url_host
 
 #: Pages of different prose on which a subtree must recur within a host to be template, and their least share of the host's.
 MIN_PAGES, MIN_SHARE = 5, 0.2
-#: Stands for the page itself among its subtrees, so that a host's pages are counted with them.
+#: The same for prose of a marked article.
+FIRM_PAGES, FIRM_SHARE = 20, 0.5
+#: Stands for the page itself among its subtrees, so that a host's pages are counted with them; plus one if nothing lies outside its article.
 WHOLE = 0
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -112,8 +115,9 @@ def _names_furniture(attrs: dict[str, str]) -> bool:
     return not NAMES.isdisjoint(re.split(r"[^a-z]+", words))
 
 
-def _kept(page: Page) -> tuple[list[bool], bool]:
-    """Which nodes hold main text: no furniture, and inside a marked article if the page has one; and whether it has.
+def _kept(page: Page) -> tuple[list[bool], list[bool], bool]:
+    """Which nodes hold main text by the page alone: no furniture, and inside a marked article if the page has one; which
+    blocks lie outside the article and are no furniture; and whether there is an article.
 
     A wrapper that is named like furniture but holds the only article is none.
     """
@@ -133,54 +137,62 @@ def _kept(page: Page) -> tuple[list[bool], bool]:
                 top = page.main[i] and (only is None or page.tag[i] == only)
                 inside[i] = alive[i] and (inside[page.parent[i]] or top)
             if any(inside):
-                return inside, True
+                return inside, _outside(page, alive, inside), True
         if not excused:
             unmarked = alive.copy()
-    return unmarked, False
+    return unmarked, [False] * n, False
 
 
-def _hashes(page: Page, kept: list[bool], marked: bool) -> dict[int, int]:
-    """Hash of each subtree that may be template, by tags and text without attributes."""
+def _outside(page: Page, alive: list[bool], inside: list[bool]) -> list[bool]:
+    """Nodes of blocks beside the article; not the elements around it, nor loose text in those."""
     n = len(page.tag)
-    holds_prose, has_text = [False] * n, [False] * n
-    for node, text in page.events:
-        if text and not text.isspace():
-            has_text[node] = True
+    holds = inside.copy()
     for i in range(n - 1, 0, -1):
-        up = page.parent[i]
-        has_text[up] |= has_text[i]
-        holds_prose[up] |= holds_prose[i] or page.tag[i] in PROSE
-    may = [False] * n
+        holds[page.parent[i]] |= holds[i]
+    out = [False] * n
     for i in range(1, n):
-        inside = kept[i] and has_text[i] and kept[page.parent[i]] and page.tag[i] in BLOCKS and page.tag[i] not in ("html", "body")
-        if marked:
-            in_prose = page.tag[page.parent[i]] in PROSE
-            may[i] = inside and not holds_prose[i] and page.tag[i] not in PROSE and not in_prose
-        else:
-            may[i] = inside
-    if not any(may):
-        return {}
+        out[i] = alive[i] and not holds[i] and (out[page.parent[i]] or page.tag[i] in BLOCKS and page.tag[i] not in ("html", "body"))
+    return out
+
+
+def _hashes(page: Page, inside: list[bool], outside: list[bool], marked: bool) -> dict[int, int]:
+    """Key of each block with text: a hash by tags and text without attributes or furniture, even, plus one for article prose."""
+    n = len(page.tag)
+    kept = [a or b for a, b in zip(inside, outside)]
+    holds_prose, has_text = [False] * n, [False] * n
     said: list[list[str]] = [[] for _ in range(n)]
-    children: list[list[int]] = [[] for _ in range(n)]
-    for i in range(1, n):
-        children[page.parent[i]].append(i)
     for node, text in page.events:
-        if text:
+        if text and kept[node]:
             said[node].append(text)
-    digest = [0] * n
+            has_text[node] |= not text.isspace()
+    inner: list[list[str]] = [[] for _ in range(n)]
+    found = {}
     for i in range(n - 1, 0, -1):
-        inner = "".join(f"<{digest[c]:x}>" for c in children[i])
-        digest[i] = xxhash.xxh64_intdigest(f"{page.tag[i]} {' '.join(''.join(said[i]).split())} {inner}".encode("utf-8", "replace")) >> 1
-    return {i: digest[i] for i in range(1, n) if may[i]}
+        up = page.parent[i]
+        holds_prose[up] |= holds_prose[i] or page.tag[i] in PROSE
+        if not kept[i]:
+            continue
+        has_text[up] |= has_text[i]
+        digest = xxhash.xxh64_intdigest(f"{page.tag[i]} {' '.join(''.join(said[i]).split())} {''.join(inner[i][::-1])}".encode("utf-8", "replace")) >> 1
+        inner[up].append(f"<{digest:x}>")
+        if has_text[i] and (outside[i] or inside[up]) and page.tag[i] in BLOCKS and page.tag[i] not in ("html", "body"):
+            prose = marked and inside[i] and (holds_prose[i] or page.tag[i] in PROSE or page.tag[up] in PROSE)
+            found[i] = digest & ~1 | prose
+    return found
 
 
 def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
-    """The article's blocks with white space made one space, without subtrees whose hash is in ``template``."""
+    """The main text's blocks with white space made one space, without subtrees whose key is in ``template``.
+
+    With ``WHOLE`` in it the host has pages enough to tell template, and blocks outside the article that are none stay.
+    """
     page = Page(html)
-    kept, marked = _kept(page)
-    if template:
+    inside, outside, marked = _kept(page)
+    kept = [a or b for a, b in zip(inside, outside)] if WHOLE in template else inside
+    if template - {WHOLE}:
         gone = [False] * len(kept)
-        hashes = _hashes(page, kept, marked)
+        hashes = _hashes(page, inside, outside, marked)
+        kept = kept.copy()
         for i in range(1, len(kept)):
             gone[i] = gone[page.parent[i]] or hashes.get(i) in template
             kept[i] = kept[i] and not gone[i]
@@ -189,12 +201,14 @@ def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
 
 
 def template_candidates(html: str) -> tuple[int, list[int]]:
-    """A hash of the page's prose, and the distinct hashes of subtrees that may be template."""
+    """A hash of the page's prose, and the distinct keys of its blocks; none if it has no block with text."""
     page = Page(html)
-    kept, marked = _kept(page)
-    found = _hashes(page, kept, marked)
-    prose = "".join(t for node, t in page.events if t and kept[node] and page.tag[node] in PROSE)
-    return xxhash.xxh64_intdigest(prose.encode("utf-8", "replace")) >> 1, sorted({WHOLE, *found.values()})
+    inside, outside, marked = _kept(page)
+    found = _hashes(page, inside, outside, marked)
+    if not found:
+        return 0, []
+    prose = "".join(t for node, t in page.events if t and inside[node] and page.tag[node] in PROSE)
+    return xxhash.xxh64_intdigest(prose.encode("utf-8", "replace")) >> 1, sorted({WHOLE | (not any(outside)), *found.values()})
 
 
 def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -202,7 +216,7 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", min_pa
 
     Null or empty html gives empty text. The site is the URL's host; pages without one share the
     empty host. Template recurs on ``min_pages`` pages and on ``min_share`` of the host's, so that what a few pages of a
-    large host share stays. Pages of equal prose count once, so copies of an article do not turn it
+    large host share stays; for article prose it is at least ``FIRM_PAGES`` and ``FIRM_SHARE``. Pages of equal prose count once, so copies of an article do not turn it
     into template; repeated rows are extracted alike, and an empty table gives no rows.
     """
 
@@ -217,13 +231,14 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", min_pa
     seen = seen.select("row", body.alias("body"), F.coalesce(url_host(address), F.lit("")).alias("host"), F.xxhash64(address, body).alias("row_key"))
     nodes = written(seen.select("row_key", "host", "body").mapInPandas(
         candidates, "row_key long, host string, prose long, hashes array<long>"), "subtrees")
-    subtrees = nodes.select("row_key", "host", "prose", F.explode("hashes").alias("subtree"))
+    subtrees = nodes.select("row_key", "host", "prose", F.explode("hashes").alias("key")).withColumn("subtree", F.col("key").bitwiseAND(F.lit(~1)))
     recurring = written(subtrees.select("host", "subtree", "prose").distinct().groupBy("host", "subtree").agg(F.count("*").alias("pages"))
                         .where(F.col("pages") >= min_pages), "recurring")
     hosts = recurring.where(F.col("subtree") == WHOLE).select("host", F.col("pages").alias("of"))
-    template = (recurring.where(F.col("subtree") != WHOLE).join(hosts, "host")
-                .where(F.col("pages") >= min_share * F.col("of")).select("host", "subtree"))
-    dropped = subtrees.join(template, ["host", "subtree"]).groupBy("row_key").agg(F.collect_set("subtree").alias("dropped"))
+    template = (recurring.join(hosts, "host").where(F.col("pages") >= min_share * F.col("of"))
+                .select("host", "subtree", ((F.col("subtree") != WHOLE) & (F.col("pages") >= FIRM_PAGES) & (F.col("pages") >= FIRM_SHARE * F.col("of"))).alias("firm")))
+    found = subtrees.join(template, ["host", "subtree"]).where(F.col("firm") | (F.col("key") == F.col("subtree")))
+    dropped = found.groupBy("row_key").agg(F.collect_set("key").alias("dropped"))
     dropped = written(dropped, "template")
 
     @F.pandas_udf("string")

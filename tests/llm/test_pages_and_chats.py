@@ -47,6 +47,20 @@ def test_template_recurs_on_a_share_of_the_hosts_pages(spark):
     assert all(got[100 + i] == f"own words {i}" for i in range(6))
 
 
+def test_blocks_in_and_outside_the_article_go_by_recurrence(spark):
+    page = """<body><div class="top">Site name</div><div>Summary %d</div><article><h1>Title %d</h1><p>own words %d</p><p>%s</p><ul><li>Read this<li>Read that</ul>
+        </article><section><p>More of the site</p></section><nav>only here %d</nav></body>"""
+    rows = [(i, f"http://a.com/{i}", page % (i, i, i, "a shared passage" if i < 8 else f"passage {i}", i)) for i in range(24)]
+    rows += [(100 + i, f"http://b.com/{i}", page % (i, i, i, "x", i)) for i in range(3)]
+    rows += [(200 + i, f"http://c.com/{i}", page % (i, i, i, f"passage {i}", i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in site_templates.extract_pages(df).select("row.page_id", "text").collect()}
+    assert all(got[i] == f"Summary {i} Title {i} own words {i} " + ("a shared passage" if i < 8 else f"passage {i}") for i in range(24))
+    assert all(got[100 + i] == f"Title {i} own words {i} x Read this Read that" for i in range(3))
+    assert all(got[200 + i] == f"Summary {i} Title {i} own words {i} passage {i} Read this Read that" for i in range(10))
+    assert len(site_templates.template_candidates(rows[0][2])[1]) == 11  # WHOLE and ten blocks
+
+
 def test_given_pages_equal_their_article(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in QUERIES["op1_site_templates"](spark, sf_dir).collect():
