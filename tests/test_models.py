@@ -46,6 +46,16 @@ def test_importances(market):
     assert sum(gain.values()) == pytest.approx(1)
 
 
+def test_permuted_values_come_from_the_whole_column(market):
+    class Rare:
+        def transform(self, df):
+            return df.withColumn("prediction", (F.col("manufacturer") == "rare").cast("double"))
+
+    one = F.when(F.col("listing_id") == "l0777", "rare").otherwise(F.col("manufacturer"))
+    moved = {r.feature: r.importance for r in pricing.permutation_importance(Rare(), market.withColumn("manufacturer", one), INPUTS).collect()}
+    assert moved.pop("manufacturer") == pytest.approx(2 / 2000) and set(moved.values()) == {0.0}
+
+
 def test_time_folds_never_look_ahead(market):
     folds = pricing.time_folds(market, "posting_date", 5)
     assert len(folds) == 5
