@@ -1,14 +1,13 @@
 """Segments, anomalies, price models, forecasts, recommendations.
 
-Tree counts and refits are set low here to keep a run short; the operators' defaults are
-the full sizes.
+All run at the operators' defaults, which are the full sizes.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from forecourt.functions.numbers import half_up
@@ -34,10 +33,6 @@ def _model_rows(k, *more):
     return k.listings("listing_id", "price", *INPUTS.categorical, *INPUTS.numeric, *more)
 
 
-def _small() -> GBTRegressor:
-    return pr.boosted(INPUTS, trees=5, depth=4)
-
-
 @query("market_segments", "ML3 SF16 AG48")
 def _(k):
     found = sg.segment(k.listings("price", "year", "odometer", "manufacturer", "model"))
@@ -104,47 +99,47 @@ def _(k):
 @query("price_model_metrics", "ML7")
 def _(k):
     learn, check = split(_model_rows(k), "listing_id")
-    return pr.regression_metrics(pr.predict(pr.train(learn, INPUTS, _small()), check, INPUTS))
+    return pr.regression_metrics(pr.predict(pr.train(learn, INPUTS), check, INPUTS))
 
 
 @query("price_model_importances", "ML7 ML13")
 def _(k):
-    return pr.importances(pr.train(_model_rows(k), INPUTS, _small()), INPUTS)
+    return pr.importances(pr.train(_model_rows(k), INPUTS), INPUTS)
 
 
 @query("permutation_importances", "ML13")
 def _(k):
     df = _model_rows(k)
-    return pr.permutation_importance(pr.train(df, INPUTS, _small()), df, INPUTS)
+    return pr.permutation_importance(pr.train(df, INPUTS), df, INPUTS)
 
 
 @query("forest_with_dummies", "ML8")
 def _(k):
     learn, check = split(_model_rows(k, "type"), "listing_id")
     inputs = pr.Inputs((*INPUTS.categorical, "type"))
-    forest = RandomForestRegressor(labelCol="price", numTrees=5, maxDepth=4, seed=42)
+    forest = RandomForestRegressor(labelCol="price", numTrees=100, maxDepth=6, seed=42)
     return pr.regression_metrics(pr.predict(pr.train(learn, inputs, forest, one_hot=True, scaler="standard"), check, inputs))
 
 
 @query("model_comparison", "ML9")
 def _(k):
     learn, check = split(_model_rows(k), "listing_id")
-    return pr.compare_models(learn, check, INPUTS, trees=5, depth=4)
+    return pr.compare_models(learn, check, INPUTS)
 
 
 @query("parameter_grid", "ML9")
 def _(k):
-    return pr.grid_search(_model_rows(k), INPUTS, trees=(3,), depths=(3, 4), steps=(0.1, 0.3), shares=(1.0,), folds=3)
+    return pr.grid_search(_model_rows(k), INPUTS)
 
 
 @query("time_validation", "ML10")
 def _(k):
-    return pr.time_validation(_model_rows(k, "posting_date"), "posting_date", INPUTS, pr.boosted(INPUTS, trees=3, depth=3))
+    return pr.time_validation(_model_rows(k, "posting_date"), "posting_date", INPUTS)
 
 
 @query("prediction_spread", "ML11")
 def _(k):
-    return pr.prediction_spread(_model_rows(k), "listing_id", INPUTS, pr.boosted(INPUTS, trees=3, depth=3), refits=4).agg(
+    return pr.prediction_spread(_model_rows(k), "listing_id", INPUTS).agg(
         F.count("*").alias("listings"), half_up(F.avg("prediction")).alias("avg_prediction"), half_up(F.avg("uncertainty")).alias("avg_uncertainty"))
 
 
@@ -162,7 +157,7 @@ def _(k):
 @query("residual_report", "ML12")
 def _(k):
     df = _model_rows(k)
-    return pr.residual_figures(pr.predict(pr.train(df, INPUTS, _small()), df, INPUTS))
+    return pr.residual_figures(pr.predict(pr.train(df, INPUTS), df, INPUTS))
 
 
 @query("fair_price_metrics", "ML15")
@@ -173,7 +168,7 @@ def _(k):
 @query("batch_pricing", "ML16")
 def _(k):
     df = _model_rows(k)
-    return pr.predict(pr.train(df, INPUTS, _small()), df, INPUTS).select("listing_id", "price", "prediction")
+    return pr.predict(pr.train(df, INPUTS), df, INPUTS).select("listing_id", "price", "prediction")
 
 
 @query("resale_opportunities", "ML26", f"""WITH g AS (SELECT manufacturer, model, avg(price) AS fair FROM listings WHERE manufacturer IS NOT NULL GROUP BY 1, 2)
@@ -188,7 +183,7 @@ def _(k):
 
 @query("listing_forecast", "ML17 ML18")
 def _(k):
-    return fc.listing_forecast(k.listings("price", "year", "posting_date", "manufacturer", "model", "type", "region"), AS_OF, trees=3, depth=3)
+    return fc.listing_forecast(k.listings("price", "year", "posting_date", "manufacturer", "model", "type", "region"), AS_OF)
 
 
 @query("volume_forecast", "ML18")

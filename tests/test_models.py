@@ -200,3 +200,41 @@ def test_listing_forecast(market):
     got = forecasting.listing_forecast(rows, dt.date(2021, 3, 1), trees=2, depth=3).orderBy("horizon_days").collect()
     assert [r.horizon_days for r in got] == [1, 7, 15, 30, 60]
     assert all(r.predicted_type == "sedan" and r.expected_volume >= 1 and r.predicted_price > 0 for r in got)
+
+
+def test_model_queries_run_at_full_size(monkeypatch):
+    """Registered queries hand no sizes of their own to the operators."""
+    from forecourt.plans import ENTRIES, modelling
+
+    class Rows:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+        def __getitem__(self, name):
+            return self
+
+    asked = []
+    sizes = {"trees", "depth", "depths", "steps", "shares", "folds", "refits", "regressor"}
+
+    def noting(module, name):
+        def note(*args, **options):
+            asked.append((name, [a for a in args if not isinstance(a, (Rows, str, pricing.Inputs, dt.date))], options))
+            return Rows()
+        monkeypatch.setattr(module, name, note)
+
+    for name in ("train", "compare_models", "grid_search", "time_validation", "prediction_spread", "permutation_importance", "predict",
+                 "regression_metrics", "importances", "residual_figures"):
+        noting(modelling.pr, name)
+    noting(modelling.fc, "listing_forecast")
+    monkeypatch.setattr(modelling, "Market", lambda *a: Rows(), raising=False)
+    monkeypatch.setattr("forecourt.plans.registry.Market", lambda *a: Rows())
+    monkeypatch.setattr(modelling, "split", lambda *a: (Rows(), Rows()))
+    monkeypatch.setattr(modelling, "half_up", lambda *a: Rows())
+    monkeypatch.setattr(modelling, "F", Rows())
+    forests = []
+    monkeypatch.setattr(modelling, "RandomForestRegressor", lambda **options: forests.append(options) or Rows())
+    for name in ("price_model_metrics", "price_model_importances", "permutation_importances", "residual_report", "batch_pricing",
+                 "forest_with_dummies", "model_comparison", "parameter_grid", "time_validation", "prediction_spread", "listing_forecast"):
+        ENTRIES[name].run(None, "")
+    assert all(not args and not sizes & set(options) for _, args, options in asked), asked
+    assert len(asked) >= 11 and [(f["numTrees"], f["maxDepth"]) for f in forests] == [(100, 6)]
