@@ -207,7 +207,7 @@ def _(k):
 
 @query("demand_forecasts", "ML21")
 def _(k):
-    return fc.demand_forecasts(k.listings("state", "type", "posting_date"), ["state", "type"], "posting_date")
+    return fc.demand_forecasts(k.listings("state", "model", "posting_date"), ["state", "model"], "posting_date")
 
 
 _SIX = ["year", "price", "odometer", "vehicle_age", "price_per_year", "price_per_mile"]

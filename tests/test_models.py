@@ -238,3 +238,9 @@ def test_model_queries_run_at_full_size(monkeypatch):
         ENTRIES[name].run(None, "")
     assert all(not args and not sizes & set(options) for _, args, options in asked), asked
     assert len(asked) >= 11 and [(f["numTrees"], f["maxDepth"]) for f in forests] == [(100, 6)]
+
+
+def test_demand_runs_by_state_and_model(spark, sf_dir):
+    from forecourt.plans import ENTRIES
+
+    assert ENTRIES["demand_forecasts"].run(spark, sf_dir).columns == ["state", "model", "period", "yhat"]

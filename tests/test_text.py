@@ -86,3 +86,15 @@ def test_small_text_helpers(spark):
     assert [r.x for r in df.select(tx.transmission_bucket(F.col("t")).alias("x")).collect()] == ["Manual", "Automatic", "Other", "Other"]
     assert one(spark, tx.ascii_only, "café €5") == "caf 5"
     assert one(spark, tx.words, "Like NEW, 4x4!") == ["like", "new", "4x4"]
+
+
+def test_title_flags_and_vin(spark):
+    from forecourt.operators.features import title_flags
+
+    rows = spark.createDataFrame([(1, "clean", "1FT"), (2, "lien", None), (3, "rebuilt", ""), (4, None, "x"), (5, "Salvage", None), (6, "salvage", "y")],
+                                 "id int, title string, vin string")
+    got = {r.id: r for r in rows.select("id", *[c.alias(n) for n, c in title_flags(F.col("title")).items()],
+                                        tx.description_features(F.col("title"), F.col("vin"))["has_vin"].alias("has_vin")).collect()}
+    flags = {i: [t for t in ("clean", "salvage", "rebuilt", "lien") if r[f"is_{t}_title"]] for i, r in got.items()}
+    assert flags == {1: ["clean"], 2: ["lien"], 3: ["rebuilt"], 4: [], 5: [], 6: ["salvage"]}
+    assert [got[i].has_vin for i in range(1, 7)] == [1, 0, 1, 1, 0, 1]
