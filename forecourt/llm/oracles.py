@@ -60,4 +60,30 @@ SELECT doc_id, cast(len(words) AS bigint) AS n_words, cast(coalesce(n_hit, 0) AS
   sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM docs LEFT JOIN hit USING (k) LEFT JOIN listed USING (k)
 """
 
-ORACLES = {"op9_positional_index": PASSAGES, "op8_quality_rules": QUALITY, "op10_url_rules": URLS}
+# crc32 of the decimal id, bit by bit; words as in Spark; ties of a turn by the digest of role and text
+TRIE = """
+WITH own AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(k, 1, 32)) - 1 AS i, k, w FROM (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (SELECT DISTINCT c, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(cast(c AS varchar), ''),
+  lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 4 AS h FROM own),
+turns AS (SELECT v.c, 0 AS part, o.i, o.k, o.w FROM convs v JOIN own o ON o.c = v.c - v.c % 20 AND o.i < v.h
+  UNION ALL SELECT v.c, 1, o.i, o.k, o.w FROM convs v JOIN own o ON o.c = v.c AND o.i >= v.h),
+said AS (SELECT c, coalesce(ids, []) AS ids, coalesce(ws, []) AS ws FROM convs
+  LEFT JOIN (SELECT c, list(k ORDER BY part, i) AS ids, list(w ORDER BY part, i) AS ws FROM turns GROUP BY c) USING (c)),
+members AS (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM said),
+keyed AS (SELECT c, d, len(ids) = d AS ends, md5(array_to_string(ids[1:d], '/')) AS node,
+  CASE WHEN d > 0 THEN md5(array_to_string(ids[1:d - 1], '/')) END AS parent, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM members),
+nodes AS (SELECT node, any_value(d) AS d, any_value(parent) AS parent, min(c) AS first, count(*) AS n, any_value(w) AS w,
+  string_agg(cast(c AS varchar), ',' ORDER BY c) FILTER (ends) AS list FROM keyed GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS k FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+pairs AS (SELECT DISTINCT a.node AS top, b.node AS below FROM keyed a JOIN keyed b ON a.c = b.c AND a.d <= b.d),
+sums AS (SELECT p.top AS node, sum((n.n - 1) * n.w) AS saved, count(*) FILTER (kids.k IS NULL) AS leaves
+  FROM pairs p JOIN nodes n ON n.node = p.below LEFT JOIN kids ON kids.node = n.node GROUP BY p.top)
+SELECT n.first AS conv_id, n.d AS depth, up.first AS parent_conv_id, n.n AS n_convs, cast(coalesce(k, 0) AS bigint) AS n_children,
+  cast(leaves AS bigint) AS n_leaves, cast(saved AS bigint) AS saved_tokens, sha256(coalesce(n.list, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes up ON up.node = n.parent LEFT JOIN kids ON kids.node = n.node JOIN sums ON sums.node = n.node
+"""
+
+ORACLES = {"op13_prefix_trie": TRIE, "op9_positional_index": PASSAGES, "op8_quality_rules": QUALITY, "op10_url_rules": URLS}

@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm import chat_log, decontamination, merge_bpe, quality_rules, sharding, simhash, site_templates, token_files, toxicity, url_rules
-from forecourt.llm.common import table
+from forecourt.llm import (
+    chat_log, decontamination, merge_bpe, periodic_runs, prefix_trie, quality_rules, sharding, simhash, site_templates, token_files, toxicity,
+    url_rules,
+)
+from forecourt.llm.common import SPACE_RUN, as_text, table, written
 
 #: Host, path and verdict of the URL rules.
 URL_RULES = [
@@ -80,6 +83,43 @@ def url_prefix_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, rules).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` in which each document with crc32(doc_id) % 10 = 0 repeats a stretch of its words from some word on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.filter(F.split(as_text(F.col("text")), SPACE_RUN, -1), lambda w: w != ""))
+    g, n = F.floor(h / 10), F.nullif(F.size("words").cast("long"), F.lit(0))
+    cut = docs.select("doc_id", "text", g.alias("g"), words.alias("words")).withColumn("a", F.col("g") % n)
+    cut = cut.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
+    return cut.select("doc_id", F.coalesce(F.when(F.col("a").isNotNull(), F.array_join(again, " ")), "text").alias("text"))
+
+
+def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.select("row.doc_id", "runs", longest.alias("best"), "collapsed", F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+                       F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def rebuilt(lists: DataFrame) -> DataFrame:
+    """Turn lists in which each conversation begins with up to three turns of the last whose id divides by 20."""
+    lists = written(lists, "turn-lists")
+    heads = lists.where("conv % 20 = 0").select(F.col("conv").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    h = (F.crc32(F.col("conv").cast("string")) % 4).cast("int")
+    begins = F.coalesce(F.slice("head", 1, h), F.slice("turns", 1, 0))
+    own = F.slice("turns", h + 1, F.greatest(F.size("turns") - h, F.lit(0)))
+    return lists.join(heads, F.expr("conv - conv % 20 = base"), "left").select("conv", F.concat(begins, own).alias("turns"))
+
+
+def conversation_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.conversation_trie(rebuilt(prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))))
+    return nodes.select(F.col("first").alias("conv_id"), F.col("depth").cast("long").alias("depth"), F.col("parent_first").alias("parent_conv_id"),
+                        "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES = {
     "op1_site_templates": site_template_removal,
     "op2_chat_event_log": chat_formatting,
@@ -91,4 +131,6 @@ QUERIES = {
     "op8_quality_rules": quality_rule_table,
     "op9_positional_index": benchmark_passages,
     "op10_url_rules": url_prefix_rules,
+    "op11_periodic_runs": word_runs,
+    "op13_prefix_trie": conversation_prefixes,
 }
