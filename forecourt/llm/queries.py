@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.llm import (
-    chat_log, decontamination, merge_bpe, periodic_runs, prefix_trie, quality_rules, sharding, simhash, site_templates, token_files, toxicity,
-    url_rules,
+    chat_log, decontamination, merge_bpe, periodic_runs, prefix_trie, quality_rules, sharding, simhash, site_templates, suffix_dedup, token_files,
+    toxicity, url_rules,
 )
 from forecourt.llm.common import SPACE_RUN, as_text, table, written
 
@@ -104,6 +104,12 @@ def word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.floor(1000 * length / period).cast("long").alias("exponent_milli"), "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["begin"])
+    return found.select("row.doc_id", "n_bytes", size.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def rebuilt(lists: DataFrame) -> DataFrame:
     """Turn lists in which each conversation begins with up to three turns of the last whose id divides by 20."""
     lists = written(lists, "turn-lists")
@@ -132,5 +138,6 @@ QUERIES = {
     "op9_positional_index": benchmark_passages,
     "op10_url_rules": url_prefix_rules,
     "op11_periodic_runs": word_runs,
+    "op12_suffix_dedup": passage_dedup,
     "op13_prefix_trie": conversation_prefixes,
 }
