@@ -33,7 +33,7 @@ WINDOW = 10
 ANCHORS = 2
 #: Benchmark words handled at a time.
 BLOCK_WORDS = 500_000
-_AT_ONCE = 256
+_AT_ONCE_BYTES = 1 << 18
 
 _TO_WORDS = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -43,6 +43,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").translate(_TO_WORDS).split()
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of texts ``body`` of a bounded size; a longer text is alone in one."""
+    filled = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("body")), 0).to_numpy(zero_copy_only=False)) // _AT_ONCE_BYTES
+    cuts = np.flatnonzero(np.diff(filled)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 @dataclass
 class Block:
     """Some benchmark items with their words as numbers from 1 on, and their windows."""
@@ -66,21 +75,22 @@ class Block:
 
 
 def _count_words(block: Block):
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(block.words) + 1, np.int64)
         known = block.words.get
         for batch in batches:
-            for body in batch["body"]:
-                np.add.at(total, [n for w in words_of(body) if (n := known(w))], 1)
+            for part in slices(batch):
+                for body in part.column("body").to_pylist():
+                    np.add.at(total, [n for w in words_of(body) if (n := known(w))], 1)
         seen = np.flatnonzero(total[1:]) + 1
-        yield pd.DataFrame({"word": seen, "n": total[seen]})
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["word", "n"])
 
     return count
 
 
 def word_counts(bodies: DataFrame, block: Block) -> np.ndarray:
     """Places of each benchmark word in all documents; one row per benchmark word comes back."""
-    rows = bodies.select("body").mapInPandas(_count_words(block), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = bodies.select("body").mapInArrow(_count_words(block), "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(len(block.words) + 1, np.int64)
     for r in rows:
         counts[r["word"]] = r["n"]
@@ -115,8 +125,7 @@ def index_documents(bodies: DataFrame, block: Block, anchors: dict[tuple[int, in
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, around = block.words.get, np.arange(1 - width, width)
         for whole in batches:
-            for at in range(0, whole.num_rows, _AT_ONCE):
-                batch = whole.slice(at, _AT_ONCE)
+            for batch in slices(whole):
                 n_words, word, place, near = [], [], [], []
                 for body in batch.column("body").to_pylist():
                     words = words_of(body)
