@@ -89,7 +89,12 @@ def _(k):
                                           half_up(F.max("lof"), 4).alias("max_lof"))
 
 
-@query("neighbour_fill", "ST14")
+@query("neighbour_fill", "ST14", f"""WITH b AS (SELECT min(price) AS p0, max(price) AS p1, min(year) AS y0, max(year) AS y1 FROM listings WHERE price IS NOT NULL AND year IS NOT NULL),
+x AS (SELECT listing_id, odometer, (price - p0) / (p1 - p0) AS p, (cast(year as double) - y0) / (y1 - y0) AS y FROM listings, b WHERE price IS NOT NULL AND year IS NOT NULL),
+w AS (SELECT DISTINCT p, y FROM x WHERE odometer IS NULL), d AS (SELECT * FROM x WHERE odometer IS NOT NULL),
+n AS (SELECT w.p, w.y, min({{'d': sqrt((w.p - d.p) * (w.p - d.p) + (w.y - d.y) * (w.y - d.y)), 'id': d.listing_id, 'v': d.odometer}}, 5) AS near FROM w, d GROUP BY 1, 2),
+f AS (SELECT coalesce(l.odometer, list_avg(list_transform(near, lambda e: e.v))) AS odometer FROM listings l LEFT JOIN x USING (listing_id) LEFT JOIN n ON n.p = x.p AND n.y = x.y)
+SELECT {n()} AS listings, {n('odometer')} AS known, {r('avg(odometer)')} AS avg_mileage FROM f""")
 def _(k):
     df = k.listings("listing_id", "price", "year", "odometer")
     filled = nb.fill_from_neighbours(df, "listing_id", "odometer", ["price", "year"])

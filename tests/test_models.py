@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from forecourt.operators import anomalies, density, forecasting, neighbours, pricing, segments
+from forecourt.operators import anomalies, density, forecasting, nearest, neighbours, pricing, segments
 from forecourt.operators.sampling import lot
 
 
@@ -132,6 +132,70 @@ def test_neighbours_are_the_same_on_any_partitions(spark, monkeypatch):
     assert lists[0] == lists[1] == lists[2] and len(lists[0]) == 1000 and all(len(x) == 5 for x in lists[0].values())
 
 
+@pytest.mark.parametrize("cell_rows", [20_000, 60])
+def test_nearest_lists_equal_brute_force(spark, cell_rows):
+    rng = np.random.default_rng(8)
+    points = np.round(np.vstack([rng.random((500, 3)), rng.normal(0.2, 0.01, (200, 3)), np.full((300, 3), 0.5), [[9.0, 9.0, 9.0]]]), 2)
+    wanted, donor = rng.random(len(points)) < 0.7, rng.random(len(points)) < 0.5
+    rows = [(f"r{i:04d}", *map(float, p), float(i), bool(w), bool(d)) for i, (p, w, d) in enumerate(zip(points, wanted, donor))]
+    df = spark.createDataFrame(rows + [("none", None, 0.0, 0.0, 1.0, True, True)], "id string, a double, b double, c double, v double, w boolean, d boolean")
+    scaled = {c: F.col(c) for c in "abc"}
+    got = nearest.nearest(df, "id", scaled, 6, value="v", wanted=F.col("w"), donor=F.col("d"), cell_rows=cell_rows).collect()
+    far = np.zeros((len(points), len(points)))
+    for j in range(3):
+        far += (points[:, j, None] - points[None, :, j]) ** 2
+    far = np.sqrt(far)
+    far[:, ~donor] = np.inf
+    np.fill_diagonal(far, np.inf)
+    assert sorted(r.id for r in got) == [f"r{i:04d}" for i in np.flatnonzero(wanted)]
+    for r in got:
+        i = int(r.id[1:])
+        assert [(e.distance, e.other, e.value) for e in r.near] == [(far[i, j], f"r{j:04d}", float(j)) for j in np.argsort(far[i], kind="stable")[:6]]
+
+
+def test_nearest_with_few_donors(spark):
+    df = spark.createDataFrame([(i, float(i), i < 3) for i in range(200)], "id int, a double, d boolean")
+    got = {r.id: [e.other for e in r.near] for r in nearest.nearest(df, "id", {"a": F.col("a")}, 5, donor=F.col("d"), cell_rows=10).collect()}
+    assert got[0] == [1, 2] and got[199] == [2, 1, 0] and len(got) == 200
+    none = nearest.nearest(df, "id", {"a": F.col("a")}, 5, donor=F.lit(False)).collect()
+    assert len(none) == 200 and all(r.near == [] for r in none)
+
+
+def test_cells_reached_hold_every_point_within_the_radius():
+    rng = np.random.default_rng(9)
+    points = rng.random((2000, 2))
+    tree = nearest.Tree.grown(points[:300], 32)
+    cells, asked, radius = tree.cells_of(points), rng.random((50, 2)), rng.random(50) * 0.2
+    at, cell = tree.reached(asked, radius)
+    found = set(zip(at.tolist(), cell.tolist()))
+    for i in range(50):
+        inside = np.sqrt(((points - asked[i]) ** 2).sum(axis=1)) <= radius[i]
+        assert {(i, c) for c in cells[inside].tolist()} <= found
+    assert len(found) < 50 * len(set(cells.tolist())) and len(set(cells.tolist())) == 32
+
+
+def test_outlier_factors_equal_brute_force(spark, sf_dir):
+    """Recall is 1: the lists behind the factors are those of all pairs."""
+    from forecourt.sources import Market
+
+    features = ["price", "year", "odometer"]
+    df = Market(spark, sf_dir).listings("listing_id", *features).dropna().where("crc32(listing_id) % 4 = 0")
+    rows = df.orderBy("listing_id").collect()
+    x = np.array([[float(r[c]) for c in features] for r in rows])
+    x = (x - x.min(axis=0)) / np.ptp(x, axis=0)
+    far = np.zeros((len(x), len(x)))
+    for j in range(3):
+        far += (x[:, j, None] - x[None, :, j]) ** 2
+    far = np.sqrt(far)
+    np.fill_diagonal(far, np.inf)
+    near = np.argsort(far, axis=1, kind="stable")[:, :20]
+    kth = np.take_along_axis(far, near, axis=1)[:, -1]
+    density = 1 / (np.maximum(np.take_along_axis(far, near, axis=1), kth[near]).mean(axis=1) + 1e-10)
+    want = density[near].mean(axis=1) / density
+    got = {r.listing_id: r.lof for r in neighbours.local_outlier_factor(df, "listing_id", features).collect()}
+    assert [got[r.listing_id] for r in rows] == pytest.approx(want.tolist(), rel=1e-9)
+
+
 def test_neighbour_fill(spark):
     rows = [(i, float(i % 10), float(i % 10), 10.0 * (i % 10)) for i in range(200)] + [(900, 3.0, 3.0, None), (901, None, 3.0, None)]
     df = spark.createDataFrame(rows, "id int, a double, b double, t double")
