@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.tails import chi_square_p, ks_p
 from forecourt.operators.joins import join_on
-from forecourt.operators.quantiles import bucket_of, placed_buckets
+from forecourt.operators.quantiles import leading_bits, placed_parts
 
 
 def long_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -23,16 +23,17 @@ def numeric_drift(reference: DataFrame, current: DataFrame, columns: list[str])
     """Largest gap between the two cumulative shares (two-sample KS) per column.
 
     Both sides are reduced to counts per distinct value. Each value's running count is the
-    total before its bucket plus the running count within the bucket, so the global order
+    total before its part of a bucket plus the running count within the part, so the global order
     needs no task that sees a whole column.
     """
     sides = long_numbers(reference, columns).withColumn("_side", F.lit(0)).unionByName(
         long_numbers(current, columns).withColumn("_side", F.lit(1))).where(F.col("value").isNotNull())
-    counts = sides.groupBy("column_name", bucket_of(F.col("value")).alias("_bucket"), F.col("value").alias("_value")).agg(
+    counts = sides.groupBy("column_name", F.col("value").alias("_value")).agg(
         F.count_if(F.col("_side") == 0).alias("_ref"), F.count_if(F.col("_side") == 1).alias("_cur"))
-    placed = placed_buckets(counts, ["column_name"], ["_ref", "_cur"]).drop("_ref_bucket", "_cur_bucket")
-    near = join_on(counts, placed, ["column_name", "_bucket"])
-    upto = Window.partitionBy("column_name", "_bucket").orderBy("_value").rowsBetween(
+    bucket, part = leading_bits(F.col("_value"))
+    counts = counts.withColumns({"_bucket": bucket, "_part": part})
+    near = join_on(counts, placed_parts(counts, ["column_name"], ["_ref", "_cur"]), ["column_name", "_bucket", "_part"])
+    upto = Window.partitionBy("column_name", "_bucket", "_part").orderBy("_value").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     share = {s: (F.col(f"{s}_before") + F.sum(s).over(upto)) / F.col(f"{s}_total") for s in ("_ref", "_cur")}
     gaps = near.select("column_name", F.abs(share["_ref"] - share["_cur"]).alias("_gap"), "_ref_total", "_cur_total")

@@ -72,7 +72,7 @@ def competition(df: DataFrame) -> DataFrame:
     bounds = quantiles(makes, "price", {"q1": 0.25, "q3": 0.75}, ["manufacturer"])
     own = makes.groupBy("manufacturer").agg(
         F.count("*").alias("total_listings"), half_up(F.avg("price")).alias("avg_price"))
-    counts = value_counts(makes, "price", ["manufacturer"])
+    counts = value_counts(makes, "price", ["manufacturer"]).withColumn("_bucket", bucket_of(F.col("_value")))
     totals = counts.groupBy("manufacturer", "_bucket").agg(
         F.sum("_w").alias("_n"), F.sum(F.col("_value") * F.col("_w")).alias("_sum"))
     bands = bounds.select(F.col("manufacturer").alias("target"), "q1", "q3",

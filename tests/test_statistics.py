@@ -10,7 +10,7 @@ from forecourt.functions import bins, tails
 from forecourt.functions.calendar import calendar_parts, days_between, haversine_km, local_time
 from forecourt.functions.numbers import half_up
 from forecourt.operators import drift, quality, sampling, series, statistics
-from forecourt.operators.quantiles import QUARTILES, absolute_deviation, quantiles
+from forecourt.operators.quantiles import QUARTILES, absolute_deviation, leading_bits, quantiles, value_counts
 
 
 def column(spark, values, name="x"):
@@ -215,3 +215,27 @@ def test_tails_at_high_freedom_and_against_tables():
     assert abs(chi_square_tail(124.342, 100) - 0.05) < 1e-5
     assert abs(chi_square_tail(1e7, 1e7) - 0.5) < 1e-3 and abs(chi_square_tail(30_000, 30_000) - 0.5) < 2e-3
     assert abs(chi_square_tail(20_403.4, 20_002) - chi_square_tail(20_401.4, 20_000)) < 1e-3
+
+
+def test_leading_bits_grow_with_the_value(spark):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.random(500), -rng.random(500), 10.0 ** rng.uniform(-300, 300, 500), 1e6 + rng.random(500), [0.0, 1.0, 2.0, 8.0, -8.0, 5e-324, 1.7e308],
+                             2.0 ** np.arange(-40, 60), np.nextafter(2.0 ** np.arange(-40, 60), 0)])
+    bucket, part = leading_bits(F.col("v"))
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", bucket.alias("b"), part.alias("p")).collect()
+    rows = sorted(rows)
+    assert [(r.b, r.p) for r in rows] == sorted((r.b, r.p) for r in rows) and all(0 <= r.p < 1 << 14 for r in rows)
+
+
+def test_no_opened_part_is_large(spark):
+    """Values on [0, 1] as well as values crowded far from 0."""
+    for of in (F.col("u"), 1e6 + F.col("u"), F.when(F.col("id") % 2 == 0, F.col("u")).otherwise(1e4 + F.col("u"))):
+        rows = spark.range(40_000).select("id", ((F.xxhash64("id") % 1_000_003) / 1_000_003.0).alias("u")).select(of.alias("v"))
+        counts = value_counts(rows, "v", [])
+        n = counts.count()
+        assert counts.groupBy("_bucket", "_part").count().agg(F.max("count")).first()[0] < n / 20
+        got = quantiles(rows, "v", {"q": 0.3, "m": 0.5}).first()
+        want = rows.agg(F.percentile("v", F.lit(0.3)).alias("q"), F.percentile("v", F.lit(0.5)).alias("m")).first()
+        assert got.q == pytest.approx(want.q, rel=1e-12) and got.m == pytest.approx(want.m, rel=1e-12)
+    uniform = spark.range(200_000).select(F.rand(3).alias("v"))
+    assert value_counts(uniform, "v", []).groupBy("_bucket").count().agg(F.max("count")).first()[0] < 200
