@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt.functions.calendar import local_time
-from forecourt.operators.joins import join_on
+from forecourt.operators.joins import join_on, known_size
 from forecourt.session import checkpoint_dir
 
 HORIZONS = (1, 7, 15, 30, 60)
@@ -160,18 +160,18 @@ def listing_forecast(df: DataFrame, as_of: dt.date, traits: tuple[str, ...] = ("
         mean = counted.groupBy(*_DATE_FEATURES).agg(F.sum("_n").cast("double").alias("weight"), (F.sum("_price") / F.sum("_n")).alias("price"))
         price = Pipeline(stages=[gather, GBTRegressor(labelCol="price", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.1,
                                                       seed=42, predictionCol="predicted_price")]).fit(mean)
-        out = price.transform(ahead).select("horizon_days", "date", "predicted_price")
+        # a row per horizon, written, so that no plan carries a model into the next
+        out = known_size(price.transform(ahead).select("horizon_days", "date", "predicted_price"))
         for c in traits:
             per = counted.groupBy(*_DATE_FEATURES, c).agg(F.sum("_n").alias("_k"))
             sizes = per.groupBy(c).agg(F.sum("_k").alias("_class"))
             labelled = per.join(sizes, c).withColumn("weight", F.col("_k") / F.col("_class"))
             model = _classifier(gather, c, trees, depth).fit(labelled)
-            # a plan of its own for each trait: chained models make one stage too large to ship
-            out = out.join(_named(model, ahead, c).select("horizon_days", f"predicted_{c}"), "horizon_days")
+            out = out.join(known_size(_named(model, ahead, c).select("horizon_days", f"predicted_{c}")), "horizon_days")
     finally:
         counted.unpersist()
         every.unpersist()
-    out = out.join(volume.withColumnRenamed("period", "date"), "date", "left")
+    out = out.join(known_size(volume.withColumnRenamed("period", "date")), "date", "left")
     return out.select("horizon_days", "date", "expected_volume", F.floor("predicted_price").alias("predicted_price"),
                       *[f"predicted_{c}" for c in traits])
 

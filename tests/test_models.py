@@ -72,6 +72,22 @@ def test_model_comparison_and_grid(market):
     assert grid.where("is_best").count() == 1 and grid.orderBy(F.desc("r2")).first().is_best
 
 
+def test_staged_scores_equal_separate_fits(market):
+    """A model's first trees are those of a shorter one, so the grid fits only the longest."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import GBTRegressor
+
+    stages = Pipeline(stages=pricing.encoder(INPUTS)).fit(pricing.usable(market, INPUTS))
+    rows = stages.transform(pricing.usable(market, INPUTS)).select("features", "price").persist()
+    for share in (0.8, 1.0):
+        fit = lambda n: GBTRegressor(labelCol="price", seed=42, maxIter=n, maxDepth=3, stepSize=0.1, subsamplingRate=share).fit(rows)
+        judge = RegressionEvaluator(labelCol="price", metricName="r2")
+        assert pricing.staged_r2(fit(9), rows, "price", (3, 6, 9)) == pytest.approx([judge.evaluate(fit(n).transform(rows)) for n in (3, 6, 9)], abs=1e-9)
+    grid = pricing.grid_search(market, INPUTS, trees=(2, 4), depths=(2, 3), steps=(0.1, 0.3), shares=(0.9,), folds=2)
+    assert grid.count() == 8 and grid.select("trees", "depth", "step").distinct().count() == 8 and grid.where("is_best").count() == 1
+
+
 def test_uncertainty_and_residuals(market):
     rows = pricing.prediction_spread(market, "listing_id", INPUTS, pricing.boosted(INPUTS, 3, 3), refits=3)
     assert rows.where("uncertainty > 0").count() > 1000
