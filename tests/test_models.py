@@ -244,6 +244,38 @@ def test_density_clusters(spark):
     assert got[0] != got[200] and got[350] == got[351] == -1 and {got[0], got[200]} == {0, 1}
 
 
+@pytest.mark.parametrize("features, eps, min_points, joined, group", [(2, 0.02, 6, 4096, 20_000), (3, 0.06, 5, 0, 10), (1, 0.002, 4, 4096, 20_000), (2, 0.05, 1, 0, 7)])
+def test_density_clusters_equal_brute_force(spark, monkeypatch, features, eps, min_points, joined, group):
+    monkeypatch.setattr(density, "_JOINED", joined)
+    rng = np.random.default_rng(features)
+    x = np.vstack([rng.random((700, features)), rng.normal(0.4, 0.03, (900, features)), rng.normal(0.7, 0.01, (250, features)),
+                   np.full((150, features), 0.9), np.zeros((1, features)), np.ones((1, features))]).clip(0, 1)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, " + ", ".join(f"f{j} double" for j in range(features)))
+    got = {r.id: r.cluster for r in density.density_clusters(df, [f"f{j}" for j in range(features)], eps, min_points, group).collect()}
+    far = np.sqrt(sum((x[:, j, None] - x[None, :, j]) ** 2 for j in range(features)))
+    close = far <= eps
+    core = close.sum(axis=1) >= min_points
+    label = np.full(len(x), -1)
+    clusters = []
+    for i in np.flatnonzero(core):
+        if label[i] < 0:
+            open_, label[i] = [i], len(clusters)
+            while open_:
+                for j in np.flatnonzero(close[open_.pop()] & core & (label < 0)):
+                    label[j] = label[i]
+                    open_.append(j)
+            clusters.append(label == label[i])
+    assert len(got) == len(x)
+    mine = np.array([got[i] for i in range(len(x))])
+    numbers = [set(mine[c].tolist()) for c in clusters]
+    assert all(len(n) == 1 for n in numbers) and sorted(n.pop() for n in numbers) == list(range(len(clusters)))
+    sizes = [int((core & (mine == k)).sum()) for k in range(len(clusters))]
+    assert sizes == sorted(sizes, reverse=True)
+    for i in np.flatnonzero(~core):
+        reached = mine[close[i] & core]
+        assert mine[i] == (reached.min() if len(reached) else -1)
+
+
 def test_segments(market):
     found = segments.segment(market, 3)
     figures = segments.segment_figures(found)
