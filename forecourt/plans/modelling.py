@@ -21,6 +21,7 @@ from forecourt.operators.features import one_for_zero
 from forecourt.operators.joins import attach_group_stats
 from forecourt.operators.sampling import split
 from forecourt.operators.series import resample, robust_daily, trailing_mean
+from forecourt.operators.shap import mean_shap
 from forecourt.plans.registry import n, query, r
 from forecourt.session import checkpoint_dir
 
@@ -118,6 +119,12 @@ def _(k):
     return pr.permutation_importance(pr.train(df, INPUTS), df, INPUTS)
 
 
+@query("shap_importances", "ML13")
+def _(k):
+    df = _model_rows(k)
+    return mean_shap(pr.train(df, INPUTS), df, INPUTS)
+
+
 @query("forest_with_dummies", "ML8")
 def _(k):
     learn, check = split(_model_rows(k, "type"), "listing_id")

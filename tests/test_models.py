@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from forecourt.operators import anomalies, density, forecasting, nearest, neighbours, pricing, segments
+from forecourt.operators import anomalies, density, forecasting, nearest, neighbours, pricing, segments, shap
 from forecourt.operators.sampling import lot
 
 
@@ -46,6 +46,43 @@ def test_importances(market):
     assert sum(gain.values()) == pytest.approx(1)
 
 
+def test_shap_values_sum_to_the_prediction(market):
+    model = pricing.train(market, INPUTS, pricing.boosted(INPUTS, trees=8, depth=5))
+    rows = shap.shap_values(model, market, INPUTS).select("prediction", "base", F.aggregate("shap", F.lit(0.0), lambda a, v: a + v).alias("all")).collect()
+    assert len(rows) == 2000
+    assert [r.base + r["all"] for r in rows] == pytest.approx([r.prediction for r in rows], rel=1e-9)
+    mean = {r.feature: r.importance for r in shap.mean_shap(model, market, INPUTS).collect()}
+    assert set(mean) == {*INPUTS.categorical, *INPUTS.numeric} and mean["manufacturer"] > mean["fuel"] == 0
+
+
+def test_shap_values_equal_enumeration_of_subsets(spark):
+    from itertools import combinations
+    from math import factorial
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    rng = np.random.default_rng(12)
+    x = np.round(rng.random((400, 3)), 1)
+    df = spark.createDataFrame([(*map(float, r), float(r[0] * 3 + r[1] * r[2] + (r[0] > 0.5) * r[2])) for r in x], "a double, b double, c double, price double")
+    for trees in (GBTRegressor(labelCol="price", maxIter=4, maxDepth=4, seed=1), RandomForestRegressor(labelCol="price", numTrees=3, maxDepth=4, seed=1)):
+        model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c"], outputCol="features"), trees]).fit(df)
+        found = shap.leaves(model, spark)
+
+        def expected(row, known):
+            """Mean of the model if only the inputs in ``known`` are those of the row."""
+            return sum(leaf.value * np.prod([float(lo < row[f] <= hi) if f in known else part for f, lo, hi, part in zip(leaf.features, leaf.low, leaf.high, leaf.kept)])
+                       for leaf in found)
+
+        got = shap.contributions(found, x[:25])
+        for row, shares in zip(x[:25], got):
+            for f in range(3):
+                rest = [g for g in range(3) if g != f]
+                want = sum(factorial(k) * factorial(2 - k) / 6 * (expected(row, {*s, f}) - expected(row, set(s))) for k in range(3) for s in combinations(rest, k))
+                assert shares[f] == pytest.approx(want, abs=1e-9)
+
+
 def test_permuted_values_come_from_the_whole_column(market):
     class Rare:
         def transform(self, df):
