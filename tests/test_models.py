@@ -338,6 +338,80 @@ def test_forecasts(spark, market):
     assert {r.expected_volume for r in volume.collect()} == {1}
 
 
+def trend_terms(t, cuts):
+    return np.column_stack([np.ones_like(t), t, np.maximum(t[:, None] - cuts, 0)])
+
+
+def test_trend_finds_planted_breaks(spark):
+    rng = np.random.default_rng(21)
+    day = np.arange(600)
+    y = 200 + 0.5 * day - 1.2 * np.maximum(day - 192, 0) + 1.0 * np.maximum(day - 384, 0) + rng.normal(0, 2, 600)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=int(d)), float(v)) for d, v in zip(day, y)]
+    got = forecasting.seasonal_forecast(spark.createDataFrame(rows, "period date, y double"), "y", 30, yearly=0).orderBy("period").collect()
+    future = [r for r in got if r.is_future]
+    assert len(got) == 630 and len(future) == 30
+    truth = 200 + 0.5 * 629 - 1.2 * (629 - 192) + 1.0 * (629 - 384)
+    assert future[-1].yhat == pytest.approx(truth, abs=8) and future[-1].yhat_lower < truth < future[-1].yhat_upper
+    assert future[-1].yhat_upper - future[-1].yhat_lower > future[0].yhat_upper - future[0].yhat_lower
+    inside = sum(r.yhat_lower <= v <= r.yhat_upper for r, v in zip(got, y))
+    assert 0.9 * 600 <= inside <= 600
+    # a break shows as slope changes next to it, and few elsewhere
+    cuts = 0.8 * np.arange(1, 26) / 25
+    t = day / 599
+    x = np.column_stack([trend_terms(t, cuts), y / y.max()])
+    fit = forecasting.fitted_trend(x.T @ x, 600, np.array([5.0, 5.0] + [0.05] * 25), slice(2, 27))
+    strong = {int(round(cuts[k] * 599)) for k in np.argsort(-np.abs(fit.changes))[:4]}
+    assert any(abs(s - 192) < 40 for s in strong) and any(abs(s - 384) < 40 for s in strong)
+    assert (np.abs(fit.changes) < 0.02 * np.abs(fit.changes).max()).sum() >= 12
+
+
+def test_band_covers_what_comes():
+    """Series whose slope keeps changing: the band of 95 % holds the later days about as often as it says."""
+    rng = np.random.default_rng(22)
+    cuts, t, ahead = 0.8 * np.arange(1, 26) / 25, np.arange(400) / 399, (400 + np.arange(30)) / 399
+    inside = []
+    for _ in range(80):
+        when = np.concatenate([rng.uniform(0, 0.8, 25), rng.uniform(1, ahead[-1], rng.poisson(25 * (ahead[-1] - 1)))])
+        change = rng.laplace(0, 0.2, len(when))
+        path = lambda at: 1 + 0.3 * at + (change * np.maximum(at[:, None] - when, 0)).sum(axis=1)
+        y = path(t) + rng.normal(0, 0.02, 400)
+        x = np.column_stack([trend_terms(t, cuts), y / np.abs(y).max()])
+        fit = forecasting.fitted_trend(x.T @ x, 400, np.array([5.0, 5.0] + [0.05] * 25), slice(2, 27))
+        low, high = fit.band(ahead, trend_terms(ahead, cuts))
+        yhat = trend_terms(ahead, cuts) @ fit.weights
+        later = (path(ahead) + rng.normal(0, 0.02, 30)) / np.abs(y).max()
+        inside.append(((yhat + low <= later) & (later <= yhat + high)).mean())
+    assert 0.92 <= np.mean(inside) <= 0.985
+
+
+def test_demand_equals_a_fit_per_series(market):
+    got = {}
+    for r in forecasting.demand_forecasts(market, ["manufacturer", "year"], "posting_date", days=7).collect():
+        got.setdefault((r.manufacturer, r.year), []).append((r.period, r.yhat))
+    counts = {}
+    for r in market.select("manufacturer", "year", "posting_date").collect():
+        days = counts.setdefault((r.manufacturer, r.year), {})
+        days[r.posting_date] = days.get(r.posting_date, 0) + 1
+
+    def design(day, first, span):
+        cols = [np.ones_like(day), (day - first) / span]
+        for length, order in ((365.25, 3), (7.0, 3)):
+            for i in range(1, order + 1):
+                cols += [np.sin(2 * np.pi * i * day / length), np.cos(2 * np.pi * i * day / length)]
+        return np.column_stack(cols)
+
+    assert set(got) == {k for k, days in counts.items() if len(days) > 1}
+    for key, rows in got.items():
+        day = np.array([(d - dt.date(1970, 1, 1)).days for d in counts[key]], float)
+        a = design(day, day.min(), max(np.ptp(day), 1.0))
+        weights = np.linalg.solve(a.T @ a + np.eye(14), a.T @ np.array(list(counts[key].values()), float))
+        future = day.max() + np.arange(1, 8)
+        want = np.maximum(design(future, day.min(), max(np.ptp(day), 1.0)) @ weights, 0)
+        rows = sorted(rows)
+        assert [r[1] for r in rows] == pytest.approx(want.tolist(), abs=1e-9)
+        assert [(r[0] - dt.date(1970, 1, 1)).days for r in rows] == future.tolist()
+
+
 def test_demand_forecasts(market, spark):
     one = spark.createDataFrame([("solo", dt.date(2020, 1, 1))], "manufacturer string, posting_date date")
     got = forecasting.demand_forecasts(market.select("manufacturer", "posting_date").unionByName(one), ["manufacturer"], "posting_date", days=10)
