@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from forecourt import schema as s
-from forecourt.operators.joins import join_on
+from forecourt.functions.numbers import half_up
+from forecourt.operators.joins import join_on, known_size
 from forecourt.operators.market import limit_of
 from forecourt.operators.quantiles import one_row, quantile_values, quantiles
 from forecourt.operators.words import with_raised_price
@@ -218,27 +219,37 @@ def low_price_audit(df: DataFrame, below: float) -> DataFrame:
     return df.where(F.col("price") < below).groupBy(*fields).agg(F.count("*").alias("count"))
 
 
-def comparables(df: DataFrame, requests: DataFrame, span: int = 2) -> DataFrame:
+def comparables(df: DataFrame, requests: DataFrame, span: int = 2, days_listed: str | None = None) -> DataFrame:
     """Price figures of like listings for each requested (make, model, year).
 
-    A listing counts for every model year within ``span`` of its own, so the range test
-    becomes a plain group-by: rows are copied 2·span+1 times before the map-side combine and
-    nothing is paired. Where none is found the make's own figures are used.
+    Listings are first counted per make, model, year and price, in a written table that all further steps read. A request
+    is spread over the model years within ``span`` and meets those counts, so listings are never copied, and counts
+    nobody asks for are dropped in the join. Where none is found the make's own figures are used; they are taken for
+    such makes only. ``days_listed`` names a column whose average is added as ``avg_days_listed``.
     """
-    from forecourt.operators.aggregates import summarise, with_medians
-
-    names = ["priced", "avg_price", "min_price", "max_price", "std_price"]
-    asked = F.explode(F.sequence(F.col("year") - span, F.col("year") + span))
     close_by, make_by = ["manufacturer", "model", "year"], ["manufacturer"]
-    spread = df.where(F.col("year").isNotNull()).select("manufacturer", "model", asked.alias("year"), "price")
-    spread = join_on(spread, requests.select(*close_by).distinct(), close_by, "left_semi")
-    close = with_medians(summarise(spread, close_by, ["total_listings", *names], drop_null_keys=True),
-                         spread.dropna(subset=close_by), close_by, median_price="price")
-    make = with_medians(summarise(df, make_by, ["total_listings", *names], drop_null_keys=True),
-                        df.dropna(subset=make_by), make_by, median_price="price")
-    figures = ["total_listings", *names, "median_price"]
-    both = join_on(join_on(requests, close, close_by, "left"),
-                   make.withColumnsRenamed({c: f"_make_{c}" for c in figures}), make_by, "left")
+    days = [F.sum(days_listed).alias("_days"), F.count(days_listed).alias("_dated")] if days_listed else []
+    cells = known_size(df.dropna(subset=make_by).groupBy(*close_by, "price").agg(F.count("*").alias("_n"), *days))
+    figures = ["total_listings", "priced", "avg_price", "min_price", "max_price", "std_price", *(["avg_days_listed"] if days_listed else []), "median_price"]
+
+    def measured(rows: DataFrame, by: list[str]) -> DataFrame:
+        x, n = F.col("price"), F.when(F.col("price").isNotNull(), F.col("_n"))
+        priced = F.coalesce(F.sum(n), F.lit(0))
+        spread = (F.sum(x * x * n) - F.pow(F.sum(x * n), F.lit(2)) / F.nullif(priced, F.lit(0))) / F.nullif(priced - 1, F.lit(0))
+        dated = [half_up(F.sum("_days") / F.nullif(F.sum("_dated"), F.lit(0))).alias("avg_days_listed")] if days_listed else []
+        base = rows.groupBy(*by).agg(
+            F.sum("_n").alias("total_listings"), priced.alias("priced"), half_up(F.sum(x * n) / F.nullif(priced, F.lit(0))).alias("avg_price"),
+            F.min(x).alias("min_price"), F.max(x).alias("max_price"), half_up(F.sqrt(F.when(spread < 0, 0.0).otherwise(spread))).alias("std_price"), *dated)
+        middle = quantiles(rows, "price", {"median_price": 0.5}, by, weight="_n").withColumn("median_price", half_up("median_price"))
+        return join_on(base, middle, by, "left", nulls_match=True)
+
+    asked = requests.select(*close_by).distinct().dropna()
+    years = asked.select(*close_by, F.explode(F.sequence(F.col("year") - span, F.col("year") + span)).alias("_near"))
+    near = known_size(join_on(cells.withColumnRenamed("year", "_near"), years, ["manufacturer", "model", "_near"]))
+    close = known_size(measured(near, close_by))
+    lonely = known_size(join_on(requests.select(*close_by), close, close_by, "left_anti").select("manufacturer").dropna().distinct())
+    make = measured(join_on(cells, lonely, make_by, "left_semi"), make_by)
+    both = join_on(join_on(requests, close, close_by, "left"), make.withColumnsRenamed({c: f"_make_{c}" for c in figures}), make_by, "left")
     alone = F.col("total_listings").isNull()
     return both.select(
         *close_by, F.when(alone, "make").otherwise("model").alias("basis"),

@@ -129,6 +129,12 @@ def iqr_outliers(df: DataFrame, column: str, fence: float = 1.5) -> DataFrame:
         half_up(F.avg(F.when(x.between(low, high), x))).alias("avg_normal"))
 
 
+def largest_outliers(df: DataFrame, column: str, key: str, k: int = 5, fence: float = 1.5) -> DataFrame:
+    """The ``k`` largest rows above the upper fence, ties by key; every task hands on ``k`` rows at most."""
+    q = quantile_values(df, column, QUARTILES)
+    return df.where(F.col(column) > q["q3"] + (q["q3"] - q["q1"]) * fence).orderBy(F.desc(column), key).limit(k)
+
+
 def box_figures(df: DataFrame, group: str, column: str) -> DataFrame:
     """Box-plot numbers per group: quartiles, and the whiskers within 1.5 IQR."""
     rows = df.where(F.col(group).isNotNull() & F.col(column).isNotNull())

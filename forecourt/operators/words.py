@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,46 @@ POLARITY = {
     "dirty": -0.6, "salvage": -0.3, "terrible": -1.0, "worst": -1.0,
 }
 
+# Polarity of what is said of vehicles in several words, and of some more single words.
+PHRASES = {
+    "like new": 0.6, "clean title": 0.5, "salvage title": -0.6, "rebuilt title": -0.4, "warranty included": 0.5, "no warranty": -0.3,
+    "one owner": 0.4, "well maintained": 0.7, "well kept": 0.6, "low miles": 0.4, "low mileage": 0.4, "high miles": -0.3, "high mileage": -0.3,
+    "runs great": 0.8, "runs rough": -0.6, "needs work": -0.6, "needs tires": -0.3, "as is": -0.2, "check engine": -0.6, "no accidents": 0.6,
+    "accident free": 0.6, "rust free": 0.5, "rust": -0.5, "dents": -0.3, "scratches": -0.2, "leaks": -0.5, "smoke free": 0.4, "garage kept": 0.5,
+    "must see": 0.5, "must sell": -0.1, "or best offer": 0.1, "obo": 0.1,
+}
+# Words that turn what follows round, and by how much.
+NEGATIONS = ("not", "no", "never", "without", "hardly")
+NEGATED = -0.5
+
+
+def lexicon_pattern(lexicon: dict[str, float], negations: tuple[str, ...] = NEGATIONS) -> str:
+    """Pattern of a phrase, longest first, after a negation if there is one; every word stands between spaces of its own."""
+    quoted = [re.escape("  ".join(p.split())).replace("\\ ", " ") for p in sorted(lexicon, key=lambda p: (-len(p.split()), -len(p), p))]
+    return f" (?:({'|'.join(negations)})  )??({'|'.join(quoted)}) "
+
+
+def spaced_words(text: Column) -> Column:
+    return F.concat(F.lit(" "), F.array_join(words(text), "  "), F.lit(" "))
+
+
+def phrase_sentiment(df: DataFrame, text: str, lexicon: dict[str, float] | None = None) -> DataFrame:
+    """``sentiment``, ``hits`` and ``negated``: mean polarity of the phrases of each text, 0 where none is known.
+
+    A phrase is the longest of the lexicon from a word on; its words are spent. One that follows a negation counts
+    ``NEGATED`` times, a phrase that holds its negation ("no accidents") as it stands. Texts stay in their row; null ones
+    hold no phrase.
+    """
+    lexicon = POLARITY | PHRASES if lexicon is None else lexicon
+    pattern, said = F.lit(lexicon_pattern(lexicon)), F.col("_said_words")
+    rows = df.withColumn("_said_words", F.coalesce(spaced_words(F.col(text)), F.lit("")))
+    rows = rows.withColumns({"_said_turns": F.regexp_extract_all(said, pattern, F.lit(1)), "_said_phrases": F.regexp_extract_all(said, pattern, F.lit(2))})
+    table = F.create_map(*[F.lit(x) for p, v in lexicon.items() for x in ("  ".join(p.split()), float(v))])
+    rows = rows.withColumn("_said_values", F.zip_with("_said_phrases", "_said_turns", lambda p, t: F.element_at(table, p) * F.when(t == "", 1.0).otherwise(NEGATED)))
+    hits, total = F.size("_said_values"), F.aggregate("_said_values", F.lit(0.0), lambda a, v: a + v)
+    return _unstaged(rows.withColumns({
+        "sentiment": F.coalesce(total / F.nullif(hits, F.lit(0)), F.lit(0.0)), "hits": hits, "negated": F.size(F.filter("_said_turns", lambda t: t != ""))}))
+
 
 def staged(df: DataFrame, found: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
     """Text searches as columns, so that each pattern runs once per row however often its

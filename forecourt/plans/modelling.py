@@ -238,3 +238,11 @@ def _(k):
     asked = [x.listing_id for x in df.dropna(subset=_SIX).orderBy("listing_id").limit(3).collect()]
     return nb.similar_listings(df, "listing_id", _SIX, asked)
 
+
+
+@query("similar_to_all", "ML25")
+def _(k):
+    df = k.listings("listing_id", "year", "price", "odometer").withColumn("vehicle_age", F.lit(AS_OF_YEAR) - F.col("year"))
+    df = df.withColumns({"price_per_year": F.col("price") / one_for_zero(F.col("vehicle_age")),
+                         "price_per_mile": F.col("price") / F.nullif("odometer", F.lit(0.0))})
+    return nb.similar_to_all(df, "listing_id", _SIX)

@@ -225,6 +225,13 @@ def _(k):
     return st.correlations(k.listings("price", "odometer", "year"), ["price", "odometer", "year"])
 
 
+@query("largest_outliers", "SL2", """WITH q AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM listings)
+SELECT listing_id, manufacturer, price FROM listings, q WHERE price > q3 + (q3 - q1) * 0.25 ORDER BY price DESC, listing_id LIMIT 5""")
+def _(k):
+    # no price lies beyond the usual fence of 1.5 here
+    return st.largest_outliers(k.listings("listing_id", "manufacturer", "price"), "price", "listing_id", fence=0.25)
+
+
 @query("iqr_outliers", "ST7", f"""WITH q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM listings), f AS (SELECT a, b, a - 0.3 * (b - a) AS lo, b + 0.3 * (b - a) AS hi FROM q)
 SELECT {r('max(a)')} AS q1, {r('max(b)')} AS q3, {r('max(b - a)')} AS iqr, {r('max(lo)')} AS lower_bound, {r('max(hi)')} AS upper_bound,
 cast(count(*) FILTER (WHERE price < lo) as bigint) AS low_outliers, cast(count(*) FILTER (WHERE price > hi) as bigint) AS high_outliers,

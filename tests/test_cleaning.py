@@ -101,6 +101,24 @@ def test_comparables_fall_back_to_the_make(spark):
     assert (got["soul"].basis, got["soul"].priced, got["soul"].avg_price) == ("make", 3, 30.0)
 
 
+def test_comparables_with_days_listed(spark):
+    rows = [("kia", "rio", 2010, 10.0, 4), ("kia", "rio", 2011, 10.0, 8), ("kia", "rio", 2012, None, None), ("kia", "ceed", 2012, 50.0, 20), (None, "rio", 2010, 1.0, 1)]
+    df = spark.createDataFrame(rows, "manufacturer string, model string, year int, price double, days int")
+    asked = spark.createDataFrame([("kia", "rio", 2011), ("kia", "soul", None), ("bmw", "m3", 2011)], "manufacturer string, model string, year int")
+    got = {r.model: r for r in cl.comparables(df, asked, span=1, days_listed="days").collect()}
+    assert (got["rio"].total_listings, got["rio"].priced, got["rio"].avg_days_listed, got["rio"].std_price) == (3, 2, 6.0, 0.0)
+    assert (got["soul"].basis, got["soul"].total_listings, got["soul"].avg_days_listed) == ("make", 4, 10.67)
+    assert (got["m3"].basis, got["m3"].total_listings, got["m3"].median_price) == ("make", None, None)
+
+
+def test_comparables_never_copy_listings(spark):
+    """The plan spreads requests, not listings: no Generate stands on the scan of listings."""
+    df = spark.createDataFrame([("kia", "rio", 2010, 10.0)], "manufacturer string, model string, year int, price double")
+    asked = spark.createDataFrame([("kia", "rio", 2011)], "manufacturer string, model string, year int")
+    plan = cl.comparables(df, asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # what is left joins written counts
+
+
 def test_clean_view_needs_a_known_flag(spark):
     base = ("kia", "rio", 2010, 1000.0, 5.0)
     rows = [(*base, False, None, None, None), (*base, None, None, None, None), (*base, True, 100.0, 9, 100.0), (*base, True, 100.0, 9, 0.0)]

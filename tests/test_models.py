@@ -272,6 +272,24 @@ def test_similar_listings(spark):
     assert [r.id for r in got] == ["a", "c"] and got[0].similarity > 0.99
 
 
+def test_similar_to_all_equals_brute_force(spark):
+    rng = np.random.default_rng(13)
+    x = np.round(rng.random((300, 4)), 2)
+    x[:2] = [[0] * 4, [1] * 4]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)] + [(999, None, 0.0, 0.0, 0.0)], "id int, a double, b double, c double, d double")
+    got = {}
+    for r in neighbours.similar_to_all(df, "id", list("abcd"), 4).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append((r.other, r.similarity))
+    norm = np.sqrt((x * x).sum(axis=1))
+    cos = (x @ x.T) / np.where(norm > 0, norm, np.inf)[:, None] / np.where(norm > 0, norm, np.inf)[None, :]
+    np.fill_diagonal(cos, -1)
+    cos[:, norm == 0] = -1
+    assert set(got) == set(np.flatnonzero(norm > 0).tolist())
+    for i, near in got.items():
+        assert [s for _, s in near] == pytest.approx(sorted(cos[i], reverse=True)[:4], abs=2e-8)  # rounding has a guard of 1e-8
+        assert all(s == pytest.approx(cos[i, j], abs=2e-8) for j, s in near)
+
+
 def test_density_clusters(spark):
     rng = np.random.default_rng(7)
     points = np.vstack([rng.normal(0, 0.3, (200, 2)), rng.normal(10, 0.3, (150, 2)), [[5.0, 5.0]], [[0.0, 10.0]]])

@@ -98,3 +98,16 @@ def test_title_flags_and_vin(spark):
     flags = {i: [t for t in ("clean", "salvage", "rebuilt", "lien") if r[f"is_{t}_title"]] for i, r in got.items()}
     assert flags == {1: ["clean"], 2: ["lien"], 3: ["rebuilt"], 4: [], 5: [], 6: ["salvage"]}
     assert [got[i].has_vin for i in range(1, 7)] == [1, 0, 1, 1, 0, 1]
+
+
+def test_phrases_are_longest_first_and_negated(spark):
+    from forecourt.operators.words import phrase_sentiment
+
+    lexicon = {"new": 0.1, "like new": 0.6, "good": 0.7, "no rust": 0.5, "rust": -0.5, "clean title": 0.5}
+    texts = {"LIKE new!": (0.6, 1, 0), "new, like": (0.1, 1, 0), "not like new": (-0.3, 1, 1), "no rust; rust": (0.0, 2, 0), "never good good": (0.175, 2, 1),
+             "not, a good one": (0.7, 1, 0), "good good good": (0.7, 3, 0), "newer goods": (0.0, 0, 0), "": (0.0, 0, 0), "without clean title": (-0.25, 1, 1)}
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    got = {r.t: (r.sentiment, r.hits, r.negated) for r in phrase_sentiment(df, "t", lexicon).collect()}
+    assert got.pop(None) == (0.0, 0, 0)
+    for t, want in texts.items():
+        assert got[t] == pytest.approx(want), t
