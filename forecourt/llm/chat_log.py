@@ -187,12 +187,42 @@ def events_of(conversations: DataFrame) -> DataFrame:
     return rows.withColumns({"part": F.row_number().over(order), "seq": F.col("message"), "kind": F.lit("message")})
 
 
+def streamed_events(conversations: DataFrame, pieces: int = 8) -> DataFrame:
+    """The log that an interface would have written for a table of finished turns, with the same final texts.
+
+    Most turns start empty and are streamed in up to ``pieces`` deltas. One turn in four (by a hash of its place) starts with
+    a draft that is later edited; one in four streams an answer that is regenerated and streamed anew, unless
+    it has no number or shares it with other rows, whose order a regeneration would upset.
+    """
+    rows = events_of(conversations).drop("seq", "kind")
+    rows = rows.withColumn("rows", F.count("*").over(Window.partitionBy("conv_id", "message")))
+    step = F.greatest(F.ceil(F.length("text") / pieces), F.lit(1)).cast("int")
+    kind = F.pmod(F.xxhash64("conv_id", "message", "part", "role"), F.lit(4))
+
+    def event(k: int | Column, name: str, text: Column, role: Column | None = None) -> Column:
+        return F.struct((F.lit(k) if isinstance(k, int) else k).cast("long").alias("k"), F.lit(name).alias("kind"),
+                        (role if role is not None else F.lit(None).cast("string")).alias("said_by"), text.alias("said"))
+
+    start = F.col("text").substr(F.lit(1), F.col("step"))
+    deltas = F.filter(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: event(
+        8 + i, "delta", F.col("text").substr(i * F.col("step") + 1, F.col("step")))), lambda e: e["said"] != "")
+    empty = F.lit("")
+    again = (F.col("turned") == 0) & (F.col("rows") == 1) & (F.abs("message") < 1 << 50)
+    log = (F.when(again, F.concat(F.array(event(0, "message", empty, F.col("role")), event(1, "delta", start), event(2, "regenerate", empty)), deltas))
+           .when(F.col("turned") == 1, F.array(event(0, "message", start, F.col("role")), event(3, "delta", F.lit("...")), event(4, "edit", F.col("text"))))
+           .otherwise(F.concat(F.array(event(0, "message", empty, F.col("role"))), deltas)))
+    spread = rows.withColumns({"step": step, "turned": kind}).select("conv_id", "message", "part", F.inline(log))
+    base = F.when(F.abs("message") < 1 << 50, F.col("message")).otherwise(0)
+    return spread.select("conv_id", "message", "part", (F.coalesce(base, F.lit(0)) * 64 + F.col("k")).alias("seq"), "kind",
+                         F.col("said_by").alias("role"), F.col("said").alias("text"))
+
+
 def write_and_read(conversations: DataFrame) -> DataFrame:
-    """Rebuilds and renders all conversations, writes the turns in the shared folder and returns their ``digest``.
+    """Folds the streamed log of all conversations, renders them, writes the turns in the shared folder and returns their ``digest``.
 
     A null text or role is empty; a null conversation or turn number is a value like any other and
     comes first; an empty table gives no rows.
     """
     folder = shared_folder(conversations.sparkSession, "formatted")
-    render(fold(events_of(conversations))).write.parquet(folder)
+    render(fold(streamed_events(conversations))).write.parquet(folder)
     return digest(conversations.sparkSession.read.parquet(folder))

@@ -1,24 +1,28 @@
 """Documents into shards by best-fit-decreasing bin packing of indivisible groups.
 
-Groups (equal texts) are summed in Spark. Packing itself sees a bounded number of items however
-large the table is: a group above ``1 / fine`` of a mean shard is an item of its own, so there are
-at most ``shards * fine`` of them, and all smaller groups meet in ``packets`` by hash of their
-text, which are items too. Items sorted by size enter the tightest bin that still holds them,
-found in a balanced tree of remaining capacities. The smallest capacity at which the items fill no
-more than the given shards is searched; a group larger than a fair share gets a shard of its own,
-since groups are not divided.
+Groups (equal texts) are summed in Spark and counted by size; sizes keep their twelve leading bits, rounded up, so there
+is a bounded number of size classes however large the table is, and each class says how many groups it has. Classes go in
+descending order into the tightest bin that still holds a group of that size, found in a balanced tree of remaining
+capacities. A bin that takes a group stays the tightest one until it is too full, so it takes its whole run of equal
+groups at once; the bins come out as if groups were placed one by one. Groups of a class are then ranked in Spark, and
+their rank says which run they belong to.
+
+For a number of shards the smallest capacity that needs no more is searched, and a group larger than a fair share gets a
+shard of its own, since groups are not divided. For a given capacity there are as many shards as best fit needs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from itertools import accumulate, groupby
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt.llm.common import as_text, written
 
 OVERHEAD = 16
-FINE = 512
-PACKETS = 8192
+#: Leading bits of a size that tell its class.
+BITS = 12
 LANES = 256
 
 
@@ -96,18 +100,53 @@ def best_fit(sizes: list[int], capacity: int, most: int | None = None) -> list[i
     return where
 
 
-def pack_into(sizes: list[int], shards: int) -> list[int]:
-    """A shard for each size (descending) so that shards are as equal as best fit makes them."""
-    own, rest = 0, sum(sizes)
-    while own < min(shards - 1, len(sizes)) and sizes[own] * (shards - own) > rest:
-        rest -= sizes[own]
-        own += 1
-    left, many = sizes[own:], shards - own
-    low = max(-(-rest // many), left[0] if left else 0)
+def best_fit_runs(classes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[list[tuple[int, int]]] | None:
+    """Runs ``(bin, groups)`` for each class ``(size, groups)``, sizes descending; None if more than ``most`` bins are needed.
+
+    A size above the capacity takes a bin of its own for each group if there is no ``most``.
+    """
+    tree, where, bins = BinTree(), [], 0
+    for size, count in classes:
+        runs = []
+        while count:
+            if size > capacity:
+                if most is not None:
+                    return None
+                runs += [(bins + k, 1) for k in range(count)]
+                bins, count = bins + count, 0
+                continue
+            if found := tree.take(size):
+                remaining, number = found
+            else:
+                if bins == most:
+                    return None
+                remaining, number, bins = capacity, bins, bins + 1
+            run = min(count, remaining // size)
+            tree.add(remaining - run * size, number)
+            runs.append((number, run))
+            count -= run
+        where.append(runs)
+    return where
+
+
+def pack_runs_into(classes: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
+    """Runs for each class (sizes descending), in shards as equal as best fit makes them."""
+    rest, own, left = sum(size * count for size, count in classes), 0, list(classes)
+    alone: list[list[tuple[int, int]]] = []
+    while left and own < shards - 1 and left[0][0] * (shards - own) > rest:
+        size, count = left[0]
+        if not alone or len(alone) <= len(classes) - len(left):
+            alone.append([])
+        alone[-1].append((own, 1))
+        own, rest, left[0] = own + 1, rest - size, (size, count - 1)
+        if count == 1:
+            left.pop(0)
+    many = shards - own
+    low = max(-(-rest // many), left[0][0] if left else 0, 1)
     step, tried = max(1, low // 10_000), {}
 
     def fits(k: int) -> bool:
-        tried[k] = best_fit(left, low + k * step, many)
+        tried[k] = best_fit_runs(left, low + k * step, many)
         return tried[k] is not None
 
     high = 0
@@ -117,47 +156,62 @@ def pack_into(sizes: list[int], shards: int) -> list[int]:
     while high - under > 1:
         middle = (high + under) // 2
         under, high = (under, middle) if fits(middle) else (middle, high)
-    return [*range(own), *(own + x for x in tried[high])]
+    packed = [[(own + number, run) for number, run in runs] for runs in tried[high]]
+    split = len(alone) + len(packed) - len(classes)  # a class that is partly alone has runs in both
+    if split:
+        packed[0] = alone.pop() + packed[0]
+    return alone + packed
+
+
+def pack_into(sizes: list[int], shards: int) -> list[int]:
+    """A shard for each size (descending) so that shards are as equal as best fit makes them."""
+    classes = [(size, len(list(same))) for size, same in groupby(sizes)]
+    return [number for runs in pack_runs_into(classes, shards) for number, run in runs for _ in range(run)] if classes else []
+
+
+def _class_of(size: Column) -> Column:
+    """The size with its leading bits, rounded up."""
+    unit = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(size)) - (BITS - 1), F.lit(0))).cast("long")
+    return (F.ceil(size / unit) * unit).cast("long")
+
+
+def _ranked(rows: DataFrame, by: str, order: list[Column], lanes: int, lane: Column, name: str) -> DataFrame:
+    """``rows`` with their rank from 0 within ``by``: numbered in lanes and shifted by the lanes before, so none holds all rows of a key."""
+    laned = rows.withColumn("lane", F.pmod(lane, F.lit(lanes)).cast("int"))
+    counts = written(laned.groupBy(by, "lane").agg(F.count("*").alias("n")), "lanes")
+    before = Window.partitionBy(by).orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(by, "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = laned.withColumn("number", F.row_number().over(Window.partitionBy(by, "lane").orderBy(*order)) - 1)
+    return numbered.join(offsets, [by, "lane"]).withColumn(name, (F.col("number") + F.col("offset")).cast("long")).drop("number", "offset", "lane")
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id", fine: int = FINE,
-                  packets: int = PACKETS, lanes: int = LANES) -> DataFrame:
+def assign_shards(docs: DataFrame, shards: int = 40, text: str = "text", key: str = "doc_id", capacity: int | None = None,
+                  lanes: int = LANES) -> DataFrame:
     """``row`` (all input columns) with ``size``, ``text_crc32``, ``shard`` and ``slot``.
 
     Size is the text's UTF-8 bytes plus 16; a null text has none and groups with empty ones. Equal
-    texts, so repeated rows too, share a shard. Slots number the rows of a shard from 0 without gaps: each shard is
-    split over ``lanes`` by a hash of key and text, numbered there, and shifted by the lanes before.
-    An empty table gives no rows. The packing is read from a table written in the shared folder.
+    texts, so repeated rows too, share a shard. With ``capacity`` (bytes) there are as many shards as needed and ``shards``
+    does not count; a group above it gets a shard of its own. Slots number the rows of a shard from 0 without gaps.
+    An empty table gives no rows. Tables written in the shared folder stand between the steps.
     """
     spark = docs.sparkSession
     body = as_text(F.col("row").getField(text))
     seen = docs.select(F.struct("*").alias("row")).select(
         "row", F.xxhash64(body).alias("group"), (F.octet_length(body) + OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
-    groups = written(seen.groupBy("group").agg(F.sum("size").alias("size")), "groups")
-    total = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    large = F.col("size") * F.lit(shards * fine) > F.lit(total)
-    packet = F.pmod("group", F.lit(packets)).cast("int")
-    # at most shards * fine rows, since each holds more than that share of the total, and at most `packets` rows
-    items = [("group", r[0], r[1]) for r in groups.where(large).select("group", "size").collect()]
-    items += [("packet", r[0], r[1]) for r in groups.where(~large).groupBy(packet.alias("packet")).agg(F.sum("size")).collect()]
-    items.sort(key=lambda x: (-x[2], x[0], x[1]))
-    where = pack_into([x[2] for x in items], shards) if items else []
-    of_group = [(x[1], s) for x, s in zip(items, where) if x[0] == "group"]
-    of_packet = [(x[1], s) for x, s in zip(items, where) if x[0] == "packet"]
-    own = spark.createDataFrame(of_group, "group long, own_shard int")
-    common = spark.createDataFrame(of_packet, "packet int, packet_shard int")
-    placed = (seen.withColumn("packet", packet).join(F.broadcast(own), "group", "left").join(F.broadcast(common), "packet", "left")
-              .withColumn("shard", F.coalesce("own_shard", "packet_shard"))
-              .withColumn("lane", F.pmod(F.xxhash64(F.col("row").getField(key), F.col("group")), F.lit(lanes)).cast("int")))
-    counts = placed.groupBy("shard", "lane").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "lane", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    order = Window.partitionBy("shard", "lane").orderBy(F.col("row").getField(key), "group")
-    numbered = placed.withColumn("slot", F.row_number().over(order) - 1)
-    # shards * lanes rows at most
-    return numbered.join(F.broadcast(offsets), ["shard", "lane"]).select(
-        "row", "size", "text_crc32", "shard", (F.col("slot") + F.col("offset")).cast("long").alias("slot"))
+    groups = seen.groupBy("group").agg(F.sum("size").alias("bytes"))
+    groups = written(groups.select("group", _class_of(F.col("bytes")).alias("class")), "groups")
+    # leading bits bound the classes: 4,096 sizes and 2,048 more for each power of two beyond
+    classes = sorted(map(tuple, groups.groupBy("class").agg(F.count("*").alias("n")).collect()), reverse=True)
+    runs = best_fit_runs(classes, capacity) if capacity else pack_runs_into(classes, shards) if classes else []
+    table = [(size, [(upto, number) for upto, (number, _) in zip(accumulate(run for _, run in own), own)]) for (size, _), own in zip(classes, runs)]
+    table = written(spark.createDataFrame(table, "class long, runs array<struct<upto: long, shard: int>>"), "runs")
+    placed = _ranked(groups, "class", [F.col("group")], lanes, F.col("group"), "rank").join(table, "class")
+    mine = F.element_at(F.filter("runs", lambda r: F.col("rank") < r["upto"]), 1)["shard"]
+    placed = written(placed.select("group", mine.alias("shard")), "shards-of-groups")
+    dealt = seen.join(placed, "group").withColumn("_key", F.col("row").getField(key))
+    numbered = _ranked(dealt, "shard", [F.col("_key"), F.col("group")], lanes, F.xxhash64("_key", "group"), "slot")
+    return numbered.select("row", "size", "text_crc32", "shard", "slot")
 
 
 def write_shards(assigned: DataFrame, path: str, lanes: int = LANES) -> None:

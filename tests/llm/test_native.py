@@ -107,6 +107,36 @@ def test_packing_is_even_and_whole():
     assert huge.count(huge[0]) == 1 and max(Counter(huge[1:]).values()) == 10
 
 
+def test_runs_fill_bins_as_groups_one_by_one():
+    random.seed(9)
+    for _ in range(200):
+        sizes = sorted((random.randint(1, 30) for _ in range(random.randint(1, 150))), reverse=True)
+        capacity = random.randint(30, 80)
+        classes = [(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)]
+        one, runs = sharding.best_fit(sizes, capacity), sharding.best_fit_runs(classes, capacity)
+        assert [n for own in runs for n, count in own for _ in range(count)] == one
+        shards = random.randint(1, 9)
+        packed = sharding.pack_runs_into(classes, shards)
+        assert [sum(c for _, c in own) for own in packed] == [n for _, n in classes] and {n for own in packed for n, _ in own} <= set(range(shards))
+
+
+def test_every_group_is_packed_whatever_its_share(spark):
+    """Many small groups, where no single one is a noticeable share of a shard."""
+    random.seed(10)
+    texts = ["t" * random.randint(0, 300) + str(i) for i in range(3000)] + ["copied text"] * 700 + [None, ""]
+    rows = list(enumerate(texts))
+    got = sharding.assign_shards(documents(spark, rows), shards=7).select("row.doc_id", "row.text", "size", "shard", "slot").collect()
+    load, slots, of = [0] * 7, {}, {}
+    for r in got:
+        load[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert of.setdefault(r["text"] or "", r["shard"]) == r["shard"]
+    assert sorted(r["doc_id"] for r in got) == [i for i, _ in rows]
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(load) - min(load) < 0.002 * sum(load) / 7 + 40
+    full = sharding.assign_shards(documents(spark, rows), capacity=20_000).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert max(r["n"] for r in full) <= 20_000 and len(full) <= -(-sum(load) // 20_000) + 1
+
+
 def test_shards(spark):
     got = sharding.assign_shards(documents(spark, TEXTS * 3), shards=4).select("row.doc_id", "row.text", "row.size", "size", "text_crc32", "shard", "slot").collect()
     assert len(got) == 3 * len(TEXTS)

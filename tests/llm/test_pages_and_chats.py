@@ -93,6 +93,21 @@ def test_events_fold_into_final_messages(spark):
     assert chat_log.digest(chat_log.render(chat_log.fold(events.limit(0)))).count() == 0
 
 
+def test_streamed_log_folds_into_the_turns(spark):
+    random.seed(3)
+    rows = [(c, t, random.choice(["user", "assistant", None]), random.choice(["", None, "é", "some longer text " * 9, "x" * 5])) for c in range(40) for t in range(random.randint(1, 9))]
+    rows += [(50, 3, "user", "same"), (50, 3, "user", "same"), (50, 3, "assistant", "other"), (50, 4, "assistant", "later"), (51, None, "user", "b " * 40), (51, None, "user", "a"),
+             (52, 2**60, "assistant", "far " * 30), (52, -5, "user", "before")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = chat_log.streamed_events(turns)
+    assert {r["kind"] for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    assert log.where("kind = 'delta'").count() > len(rows) and log.groupBy("conv_id", "message", "part", "seq").count().where("count > 1").count() == 0
+    got = chat_log.fold(log).select("conv_id", "message", "role", "text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((c, t, r or "", x or "")) for c, t, r, x in rows)
+    said = chat_log.render(chat_log.fold(log)).groupBy("conv_id").count().collect()
+    assert {r[0]: r[1] for r in said} == {c: sum(x[0] == c for x in rows) for c, *_ in rows}  # no regeneration drops a turn
+
+
 def test_conversations_equal_brute_force(spark):
     rows = [(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 1, "assistant", None), (9_007_199_254_740_993, 2, "assistant", "x </s> y"), (None, None, None, "t"),
             (3, 0, "assistant", "é" * 5000), (3, 1, "assistant", "[INST]")]
