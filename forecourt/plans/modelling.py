@@ -40,6 +40,15 @@ def _(k):
     return sg.segment_figures(found)
 
 
+@query("segment_totals", "ML3 AG48", f"""SELECT {n()} AS listings, cast(5 as bigint) AS segments, {r('avg(price)')} AS avg_price, {r('avg(odometer)')} AS avg_mileage
+FROM listings WHERE price IS NOT NULL AND year IS NOT NULL AND odometer IS NOT NULL""")
+def _(k):
+    # the segments make up all listings, none empty, whichever way the centres fall
+    found = sg.segment(k.listings("price", "year", "odometer", "manufacturer", "model"))
+    return found.agg(F.count("*").alias("listings"), F.count_distinct("cluster").alias("segments"), half_up(F.avg("price")).alias("avg_price"),
+                     half_up(F.avg("odometer")).alias("avg_mileage"))
+
+
 @query("segment_makes", "AG45 ML3")
 def _(k):
     return sg.cluster_by_make(sg.segment(k.listings("price", "year", "odometer", "manufacturer"), k=4, how="minmax"))

@@ -114,12 +114,15 @@ def _(k):
     return qu.category_metrics(k.listings(*TEXTS), TEXTS)
 
 
-@query("numeric_drift", "DQ7", " UNION ALL ".join(
+_KS_SQL = " UNION ALL ".join(
     f"""SELECT '{c}' AS column_name, {r('max(abs(a - b))', 6)} AS statistic, cast(max(na) as bigint) AS reference_rows, cast(max(nb) as bigint) AS current_rows FROM (
 SELECT {c}, sum(sum(cast(posting_date < DATE '1999-01-01' as int))) OVER w / sum(sum(cast(posting_date < DATE '1999-01-01' as int))) OVER () AS a,
 sum(sum(cast(posting_date >= DATE '1999-01-01' as int))) OVER w / sum(sum(cast(posting_date >= DATE '1999-01-01' as int))) OVER () AS b,
 sum(sum(cast(posting_date < DATE '1999-01-01' as int))) OVER () AS na, sum(sum(cast(posting_date >= DATE '1999-01-01' as int))) OVER () AS nb
-FROM listings WHERE {c} IS NOT NULL GROUP BY {c} WINDOW w AS (ORDER BY {c}))""" for c in NUMERIC))
+FROM listings WHERE {c} IS NOT NULL GROUP BY {c} WINDOW w AS (ORDER BY {c}))""" for c in NUMERIC)
+
+
+@query("numeric_drift", "DQ7", _KS_SQL)
 def _(k):
     return dr.numeric_drift(*_sides(k, *NUMERIC), NUMERIC).withColumn("statistic", half_up("statistic", 6))
 
@@ -150,6 +153,14 @@ def _(k):
     return dr.aligned_counts(df.where("year <= 1996"), df.where("year >= 2001"), ["manufacturer", "fuel", "year"])
 
 
+@query("drift_statistics", "DQ7 DQ8", f"""SELECT column_name, 'ks' AS test, statistic FROM ({_KS_SQL})
+UNION ALL SELECT column_name, 'chi_square', statistic FROM ({' UNION ALL '.join(_chi_sql(c, _SIDE, c) for c in TEXTS)})""")
+def _(k):
+    # the report's statistics; SQL has none of its probabilities
+    found = dr.drift_report(*_sides(k, *NUMERIC, *TEXTS), NUMERIC, TEXTS)
+    return found.select("column_name", "test", F.when(F.col("test") == "ks", half_up("statistic", 6)).otherwise(half_up("statistic", 4)).alias("statistic"))
+
+
 @query("drift_report", "DQ7 DQ8")
 def _(k):
     return dr.drift_report(*_sides(k, *NUMERIC, *TEXTS), NUMERIC, TEXTS)
@@ -249,6 +260,17 @@ def _(k):
     return st.box_figures(k.listings("fuel", "odometer"), "fuel", "odometer")
 
 
+@query("mahalanobis_price_mileage", "ST8", f"""WITH q AS (SELECT median(price) AS pm, quantile_cont(price, 0.75) - quantile_cont(price, 0.25) AS ps, median(odometer) AS om,
+quantile_cont(odometer, 0.75) - quantile_cont(odometer, 0.25) AS os FROM listings), z AS (SELECT (coalesce(price, pm) - pm) / ps AS a, (coalesce(odometer, om) - om) / os AS b FROM listings, q),
+c AS (SELECT avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS ab FROM z),
+d AS (SELECT sqrt(((a - ma) * (a - ma) * vb - 2 * (a - ma) * (b - mb) * ab + (b - mb) * (b - mb) * va) / (va * vb - ab * ab)) AS d FROM z, c)
+SELECT d > sqrt(-2 * ln(0.25)) AS is_outlier, {n()} AS listings, {r('avg(d)', 4)} AS avg_distance FROM d GROUP BY 1""")
+def _(k):
+    # with two columns the cut at a share s is sqrt(-2 ln(1 - s)); three in four are inside here, so that both sides are filled
+    rows = st.mahalanobis_outliers(k.listings("price", "odometer"), ["price", "odometer"], 0.75)
+    return rows.groupBy("is_outlier").agg(F.count("*").alias("listings"), half_up(F.avg("distance"), 4).alias("avg_distance"))
+
+
 @query("mahalanobis_outliers", "ST8")
 def _(k):
     rows = st.mahalanobis_outliers(k.listings("price", "year", "odometer", "latitude", "longitude"),

@@ -110,15 +110,25 @@ def _(k):
 _STRATA = ["manufacturer", "year", "fuel", "state"]
 
 
-@query("sample_quotas", "WN14 SL4", f"""WITH c AS (SELECT manufacturer, year, count(*) AS q, row_number() OVER (ORDER BY count(*) DESC, manufacturer NULLS FIRST, year) AS o FROM listings GROUP BY 1, 2),
+_QUOTAS = f"""WITH c AS (SELECT manufacturer, year, count(*) AS q, row_number() OVER (ORDER BY count(*) DESC, manufacturer NULLS FIRST, year) AS o FROM listings GROUP BY 1, 2),
 z AS (SELECT *, cast(round_even(q / (SELECT sum(q) FROM c) * 1003, 0) as bigint) AS s FROM c),
 lv AS (SELECT s - j AS h, o, manufacturer, year, row_number() OVER (ORDER BY s - j DESC, o) AS rn FROM z, range(0, 200) t(j) WHERE j < s)
-SELECT z.manufacturer, z.year, cast(z.q as bigint) AS listings, cast(z.s - count(lv.o) as bigint) AS quota FROM z LEFT JOIN lv ON lv.o = z.o AND lv.rn <= (SELECT sum(s) FROM z) - 1003 GROUP BY z.manufacturer, z.year, z.q, z.s""")
+SELECT z.manufacturer, z.year, cast(z.q as bigint) AS listings, cast(z.s - count(lv.o) as bigint) AS quota FROM z LEFT JOIN lv ON lv.o = z.o AND lv.rn <= (SELECT sum(s) FROM z) - 1003 GROUP BY z.manufacturer, z.year, z.q, z.s"""
+
+
+@query("sample_quotas", "WN14 SL4", _QUOTAS)
 def _(k):
     counts = k.listings("manufacturer", "year").groupBy("manufacturer", "year").agg(F.count("*").alias("listings"))
     return sm.quotas(counts, 1003, "listings")
 
 
+@query("stratified_sample_sizes", "SL4", f"SELECT manufacturer, year, quota AS drawn FROM ({_QUOTAS}) WHERE quota > 0")
+def _(k):
+    # every stratum gives as many rows as its quota asks for, and no row twice
+    rows = sm.stratified_sample(k.listings("listing_id", "manufacturer", "year"), ["manufacturer", "year"], "listing_id", 1003)
+    return rows.groupBy("manufacturer", "year").agg(F.count_distinct("listing_id").alias("drawn"))
+
+
 @query("stratified_sample", "SL4")
 def _(k):
     return sm.stratified_sample(k.listings("listing_id", "price", *_STRATA), _STRATA, "listing_id")
