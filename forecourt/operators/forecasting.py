@@ -292,9 +292,13 @@ def _classifier(gather: VectorAssembler, column: str, trees: int, depth: int) ->
 
 
 def _named(model: PipelineModel, frame: DataFrame, column: str) -> DataFrame:
-    """Predicted class by name; the label indexer only belongs to training."""
+    """Predicted class by name; the label indexer only belongs to training.
+
+    A fitted classifier keeps its training summary, and with it the session, which can't be sent to tasks once anything in it
+    was observed. A copy has no summary.
+    """
     index, gather, forest = model.stages
-    scored = forest.transform(gather.transform(frame))
+    scored = forest.copy().transform(gather.transform(frame))
     named = IndexToString(inputCol="prediction", outputCol=f"predicted_{column}", labels=index.labels).transform(scored)
     return named.drop("features", "prediction", "rawPrediction", "probability")
 

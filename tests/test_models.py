@@ -443,6 +443,17 @@ def test_listing_forecast(market):
     assert all(r.predicted_type == "sedan" and r.expected_volume >= 1 and r.predicted_price > 0 for r in got)
 
 
+def test_listing_forecast_after_an_observation(spark, market):
+    """A session in which something was observed can't be serialised; no model may carry it along."""
+    from pyspark.sql import Observation
+
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n": 3}
+    rows = market.withColumns({"model": F.col("manufacturer"), "type": F.lit("sedan"), "region": F.lit("r")})
+    assert forecasting.listing_forecast(rows, dt.date(2021, 3, 1), trees=2, depth=2, traits=("manufacturer", "type")).count() == 5
+
+
 def test_model_queries_run_at_full_size(monkeypatch):
     """Registered queries hand no sizes of their own to the operators."""
     from forecourt.plans import ENTRIES, modelling
