@@ -432,11 +432,11 @@ _SPACED = _WORDS.replace("regexp_split_to_array", "' ' || array_to_string(list_f
 
 
 @query("phrase_sentiment", "TX12", f"""WITH lex(phrase, polarity) AS (VALUES {', '.join(f"('{'  '.join(p.split())}', {v})" for p, v in _LEXICON.items())}),
-t AS (SELECT listing_id, price, coalesce({_SPACED.format('description')}, '') AS said FROM listings),
-h AS (SELECT listing_id, coalesce(unnest(regexp_extract_all(said, '{_PHRASE}', 1)), '') AS turn, unnest(regexp_extract_all(said, '{_PHRASE}', 2)) AS phrase FROM t),
-s AS (SELECT listing_id, count(*) AS hits, count(*) FILTER (turn <> '') AS negated, avg(polarity * CASE WHEN turn = '' THEN 1 ELSE {wd.NEGATED} END) AS p FROM h JOIN lex USING (phrase) GROUP BY 1)
+t AS (SELECT row_number() OVER () AS k, price, coalesce({_SPACED.format('description')}, '') AS said FROM listings),
+h AS (SELECT k, coalesce(unnest(regexp_extract_all(said, '{_PHRASE}', 1)), '') AS turn, unnest(regexp_extract_all(said, '{_PHRASE}', 2)) AS phrase FROM t),
+s AS (SELECT k, count(*) AS hits, count(*) FILTER (turn <> '') AS negated, avg(polarity * CASE WHEN turn = '' THEN 1 ELSE {wd.NEGATED} END) AS p FROM h JOIN lex USING (phrase) GROUP BY 1)
 SELECT {r('coalesce(p, 0)', 6)} AS sentiment, cast(coalesce(hits, 0) AS int) AS hits, cast(coalesce(negated, 0) AS int) AS negated, {m('total_listings avg_price')}
-FROM listings LEFT JOIN s USING (listing_id) GROUP BY 1, 2, 3""")
+FROM t LEFT JOIN s USING (k) GROUP BY 1, 2, 3""")
 def _(k):
     scored = wd.phrase_sentiment(k.listings("listing_id", "price", "description"), "description")
     return summarise(scored.withColumn("sentiment", half_up("sentiment", 6)), ["sentiment", "hits", "negated"], ["total_listings", "avg_price"])
