@@ -22,7 +22,7 @@ HEADLINE = [
     "market_stats_by_make_model_year", "installment_stats", "financing_by_dollar_range", "competition_by_make",
     "comparable_listings", "price_ledger", "audit_ledger", "total_price_from_text", "clean_view", "feature_table",
     "numeric_metrics", "category_metrics", "numeric_drift", "category_drift", "iqr_outliers", "robust_prices",
-    "rolling_events_price_mean", "similar_listings", "bi_measures_by_year",
+    "rolling_events_price_mean", "similar_listings", "bi_measures_by_year", "neighbour_fill", "demand_forecasts", "price_forecast",
 ]
 
 
