@@ -28,11 +28,14 @@ from forecourt.llm.common import as_text, rows_of, written
 WIDTH = 100
 #: Texts with one key that a shard takes; more are dealt to several.
 HOT = 4096
-#: Bytes of text whose keys are found at a time; a longer text is taken in pieces.
+#: Bytes of text that are hashed at a time, so that their hashes stay in a core's cache; a longer text is taken in pieces.
+_BLOCK = 1 << 17
+#: Bytes of text whose keys are brought together before they are sent.
 _AT_ONCE = 1 << 22
 #: Bytes of records that are sorted at a time; a key is never cut.
 _SORTED_AT_ONCE = 1 << 22
 _GRAM = 24
+_PLACE = np.uint64((1 << 23) - 1)
 _SHALLOW = 40
 _ROWS = 8192
 _ODD = np.random.default_rng(7).integers(1, 2 ** 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,8 +49,8 @@ def _words_at(data: np.ndarray) -> np.ndarray:
 def stretches(data: bytes, lengths: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
     """``key, doc, start, windows, alone`` of each stretch of ``data``, the joined texts of the given lengths.
 
-    ``start`` counts within ``data``. ``alone`` is false if the key's string is at two places of the stretch, so that
-    two of its own windows may be equal.
+    ``start`` counts within ``data``, which has fewer than 2 ** 23 bytes. ``alone`` is false if the key's string is at two
+    places of the stretch, so that two of its own windows may be equal.
     """
     ends = np.cumsum(lengths)
     begins, n = ends - lengths, len(data)
@@ -66,34 +69,29 @@ def stretches(data: bytes, lengths: np.ndarray, width: int) -> tuple[np.ndarray,
     hashes ^= hashes >> np.uint64(29)
     hashes *= _ODD[0]
     hashes ^= hashes >> np.uint64(32)
-    least, span = hashes, 1
+    # the least string of each window with its first place: leading bits of the hash above, the place below
+    least, span = (hashes & ~_PLACE) | np.arange(size, dtype=np.uint64), 1
     while 2 * span <= around:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     if span < around:
         least = np.minimum(least[:span - around], least[around - span:])
+    place = (least & _PLACE).astype(np.int64)
     marks = np.zeros(n + 1, np.int32)
     some = held > 0
     marks[begins[some]] += 1
     np.add.at(marks, begins[some] + held[some], -1)
     whole = np.cumsum(marks[:len(least)]) > 0
     new = whole.copy()
-    new[1:] &= (least[1:] != least[:-1]) | ~whole[:-1]
+    new[1:] &= (place[1:] != place[:-1]) | ~whole[:-1]
+    moved = np.flatnonzero(new[1:] & whole[:-1]) + 1
+    new[moved[hashes[place[moved]] == hashes[place[moved - 1]]]] = False  # the same string again: the stretch goes on
     new[begins[some]] = True
     start = np.flatnonzero(new)
     doc = np.searchsorted(ends, start, side="right")
     windows = np.minimum(np.append(start[1:], n), (begins + held)[doc]) - start
-    key = least[start]
-    # the string's first place in the first window and its last place in the last one
-    reach = np.arange(around)
-    alone = np.empty(len(start), bool)
-    for at in range(0, len(start), 65536):
-        s, k = start[at:at + 65536], key[at:at + 65536, None]
-        final = s + windows[at:at + 65536] - 1
-        first = s + (hashes[s[:, None] + reach] == k).argmax(axis=1)
-        last = final + around - 1 - (hashes[final[:, None] + reach[::-1]] == k).argmax(axis=1)
-        alone[at:at + 65536] = first == last
-    return key.view(np.int64), doc, start, windows, alone
+    # equal windows have the string at the same distance, so a stretch with one place for it has no two
+    return hashes[place[start]].view(np.int64), doc, start, windows, place[start] == place[start + windows - 1]
 
 
 def _pieces(texts: list[bytes], width: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,9 +102,9 @@ def _pieces(texts: list[bytes], width: int) -> Iterator[tuple[bytes, np.ndarray,
         return b"".join(parts), np.array([len(p) for p in parts], np.int64), np.array(numbers, np.int64), np.array(offsets, np.int64)
 
     for number, text in enumerate(texts):
-        for offset in range(0, max(len(text) - width + 1, 0), _AT_ONCE):
-            part = text[offset:offset + _AT_ONCE + width - 1]
-            if size + len(part) > _AT_ONCE and parts:
+        for offset in range(0, max(len(text) - width + 1, 0), _BLOCK):
+            part = text[offset:offset + _BLOCK + width - 1]
+            if size + len(part) > _BLOCK and parts:
                 yield joined()
                 parts, numbers, offsets, size = [], [], [], 0
             parts.append(part)
@@ -121,6 +119,8 @@ def _keys(width: int):
     """Of each text's keys, those it shares with another of the batch or has twice (``known``), and one row per key of the batch."""
 
     def emit(key: np.ndarray, print_: np.ndarray, alone: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
         order = np.lexsort((print_, key))
         key, print_, alone = key[order], print_[order], alone[order]
         new = np.append(True, (key[1:] != key[:-1]) | (print_[1:] != print_[:-1]))
@@ -139,10 +139,16 @@ def _keys(width: int):
             prints = batch.column("print").to_numpy(zero_copy_only=False)
             prints, first = np.unique(prints, return_index=True)  # copies of a text once
             bodies = batch.column("body").take(pa.array(first)).cast(pa.binary()).to_pylist()
+            held, size = [], 0
             for data, lengths, numbers, _ in _pieces(bodies, width):
                 key, doc, _, _, alone = stretches(data, lengths, width)
-                if len(key):
-                    yield from emit(key, prints[numbers[doc]], alone)
+                held.append((key, prints[numbers[doc]], alone))
+                size += len(data)
+                if size >= _AT_ONCE:
+                    yield from emit(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+            if held:
+                yield from emit(*map(np.concatenate, zip(*held)))
 
     return found
 
@@ -183,10 +189,12 @@ def _blind_trie(strings: list[bytes]) -> list[list[int]]:
     A node holds only the place where its strings differ. A string goes down blindly, is compared with one leaf, and
     the first place where they differ says where it branches off.
     """
+    if strings.count(strings[0]) == len(strings):
+        return [list(range(len(strings)))]  # a trie of one leaf
     root: list = [strings[0], [0]]  # a leaf: its string and the numbers of those equal to it
     for number in range(1, len(strings)):
         text, node = strings[number], root
-        while isinstance(node[1], dict):
+        while type(node[1]) is dict:
             node = node[1].get(text[node[0]]) or next(iter(node[1].values()))
         if node[0] == text:
             node[1].append(number)
@@ -194,10 +202,10 @@ def _blind_trie(strings: list[bytes]) -> list[list[int]]:
         differ = int.from_bytes(node[0], "big") ^ int.from_bytes(text, "big")
         place, own = len(text) - (differ.bit_length() + 7) // 8, node[0]
         above, node = None, root
-        while isinstance(node[1], dict) and node[0] < place:
+        while type(node[1]) is dict and node[0] < place:
             above, node = node, node[1][text[node[0]]]
         leaf = [text, [number]]
-        if isinstance(node[1], dict) and node[0] == place:
+        if type(node[1]) is dict and node[0] == place:
             node[1][text[place]] = leaf
         else:
             split = [place, {own[place]: node, text[place]: leaf}]
@@ -208,14 +216,14 @@ def _blind_trie(strings: list[bytes]) -> list[list[int]]:
     out, open_ = [], [root]
     while open_:
         node = open_.pop()
-        if isinstance(node[1], dict):
+        if type(node[1]) is dict:
             open_ += [node[1][c] for c in sorted(node[1], reverse=True)]
         else:
             out.append(node[1])
     return out
 
 
-def deep_shallow(data: bytes, start: np.ndarray, group: np.ndarray, width: int, shallow: int = _SHALLOW) -> list[np.ndarray]:
+def deep_shallow(data: bytes, start: np.ndarray, group: np.ndarray, width: int, shallow: int = _SHALLOW) -> list[list[int]]:
     """Numbers of the strings ``data[start:start + width]`` that are equal, for each string of a ``group`` that is there twice or more."""
     chars = _words_at(np.frombuffer(data + bytes(8), np.uint8))
     at = np.arange(len(start))
@@ -232,11 +240,11 @@ def deep_shallow(data: bytes, start: np.ndarray, group: np.ndarray, width: int,
         depth += 8
     out = []
     edges = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(at) else np.empty(0, np.int64)
-    from_, to = (start[at] + depth).tolist(), (start[at] + width).tolist()
-    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
+    from_, to, number = (start[at] + depth).tolist(), (start[at] + width).tolist(), at.tolist()
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(number)]):
         for leaf in _blind_trie([data[from_[k]:to[k]] for k in range(a, b)]):
             if len(leaf) > 1:
-                out.append(at[a:b][leaf])
+                out.append([number[a + k] for k in leaf])
     return out
 
 
@@ -278,11 +286,14 @@ def _sort(width: int):
             place = np.empty((len(sorted_), 2), np.int64)
             place[order, 0] = document
             place[:, 1] = [row[4] for row in sorted_]
-            for same in deep_shallow(b"".join(row[7] for row in sorted_), base[record] + within, group, width):
-                where = place[record[same], 1] + within[same]
-                earliest = np.lexsort((where, place[record[same], 0]))[0]
-                here = (place[record[same], 0] == place[record[same], 0][earliest]) & (where == where[earliest])
-                again[same[~here]] = True
+            found = deep_shallow(b"".join(row[7] for row in sorted_), base[record] + within, group, width)
+            same = np.array([k for equals in found for k in equals], np.int64)
+            label = np.repeat(np.arange(len(found)), [len(equals) for equals in found])
+            document, where = place[record[same], 0], place[record[same], 1] + within[same]
+            order = np.lexsort((where, document, label))
+            same, label, document, where = same[order], label[order], document[order], where[order]
+            earliest = np.searchsorted(label, label)
+            again[same[(document != document[earliest]) | (where != where[earliest])]] = True
         for k, row in enumerate(sorted_):
             flags = again[first[k]:first[k + 1]]
             if flags.any():
