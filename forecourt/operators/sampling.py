@@ -65,17 +65,21 @@ def quotas(strata: DataFrame, size: int, amount: str = "_n") -> DataFrame:
     return lowered.drop("_place").unionByName(sized.where(F.col("quota") <= step["_below"]))
 
 
-def stratified_sample(df: DataFrame, strata: list[str], key: str, size: int = 100_000, seed: int = 42) -> DataFrame:
+def stratified_sample(df: DataFrame, strata: list[str], key: str, size: int = 100_000, seed: int = 42, margin: float = 10) -> DataFrame:
     """Random rows per stratum up to its quota; null is a stratum value of its own.
 
     Rows whose lot is far above the stratum's share are dropped before any shuffle, so only
-    about ``size`` rows are ranked however large a stratum is. The margin of ten standard
-    deviations leaves no chance of too few that anyone will meet.
+    about ``size`` rows are ranked however large a stratum is. The ``margin`` is in standard
+    deviations; the rows left are counted, and if a stratum should lack some of its quota all rows are ranked.
     """
     counts = df.groupBy(*strata).agg(F.count("*").alias("_n"))
     wanted = quotas(counts, size)
     rows = join_on(df.withColumn("_lot", lot(seed, key)), wanted, strata, nulls_match=True)
     q = F.col("quota")
-    near = rows.where(F.col("_lot") * F.col("_n") <= q + 10 * F.sqrt(q.cast("double")) + 20)
+    near = rows.where(F.col("_lot") * F.col("_n") <= q + margin * F.sqrt(q.cast("double")) + 2 * margin)
+    left = near.groupBy(*strata).agg(F.count("*").alias("_left"))
+    full = join_on(wanted.where(q > 0), left, strata, "left", nulls_match=True)
+    if not full.where(F.coalesce("_left", F.lit(0)) < F.least(q, F.col("_n"))).isEmpty():
+        near = rows
     place = F.row_number().over(Window.partitionBy(*strata).orderBy("_lot", key))
     return near.withColumn("_place", place).where(F.col("_place") <= q).drop("_lot", "_place", "_n", "quota")

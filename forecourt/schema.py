@@ -36,13 +36,16 @@ RAW_LISTING = T.StructType(
     ]
 )
 
+# Fixed values.
 CANONICAL_NAMES = {"VIN": "vin", "lat": "latitude", "long": "longitude", "id": "original_id"}
 
+# Fixed values.
 REQUIRED_COLUMNS = [
     "manufacturer", "model", "year", "price", "odometer",
     "fuel", "transmission", "state", "posting_date",
 ]
 
+# Fixed values.
 TEXT_COLUMNS = [
     "manufacturer", "model", "condition", "fuel", "title_status",
     "transmission", "drive", "size", "type", "paint_color",
@@ -64,6 +67,7 @@ VALID_SETS = {
     "transmission": ["manual", "automatic", "other"],
 }
 
+# Fixed values.
 FUEL_NAMES = {
     "gas": "gasoline",
     "petrol": "gasoline",
@@ -71,6 +75,7 @@ FUEL_NAMES = {
     "flex": "hybrid",
     "electric fuel": "electric",
 }
+# Fixed values.
 TRANSMISSION_NAMES = {
     "manual": "manual",
     "automatic": "automatic",

@@ -54,14 +54,20 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", batch:
     df.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).mode(mode).save()
 
 
-def write_results(results: dict[str, DataFrame], folder: str) -> None:
-    """Each result as CSV and as JSON records.
+def write_results(results: dict[str, DataFrame], folder: str, rows_per_file: int = 1_000_000) -> None:
+    """Each result as CSV and as JSON records, in one output file (in the result's order) for up to ``rows_per_file`` rows.
 
-    Results are grouped figures, so one output file each is enough.
+    A larger one has more files. A result is computed once, by as many tasks as it has; only the kept rows are
+    brought together for the files.
     """
     for name, df in results.items():
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
-        df.coalesce(1).write.mode("overwrite").json(f"{folder}/{name}.json")
+        kept = df.persist()
+        try:
+            dealt = kept.coalesce(kept.count() // rows_per_file + 1)
+            dealt.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}.csv")
+            dealt.write.mode("overwrite").json(f"{folder}/{name}.json")
+        finally:
+            kept.unpersist()
 
 
 def with_run_metadata(df: DataFrame, name: str, **counted) -> tuple[DataFrame, Observation]:

@@ -60,6 +60,15 @@ def test_results_as_csv_and_json(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/makes.csv").first().m == "kia"
 
 
+def test_results_keep_their_order_in_one_file(spark, tmp_path):
+    rows = spark.range(1000).repartition(7).orderBy("id")
+    files.write_results({"ids": rows}, str(tmp_path))
+    files.write_results({"more": rows}, str(tmp_path), rows_per_file=400)
+    one, more = (sorted((tmp_path / name).glob("part-*")) for name in ("ids.csv", "more.csv"))
+    assert len(one) == 1 and [int(x) for x in one[0].read_text().split()[1:]] == list(range(1000))
+    assert sorted(int(x) for f in more for x in f.read_text().split()[1:]) == list(range(1000))
+
+
 def test_nightly_run(spark, tmp_path):
     lines = [line(i, price=8000 + 37 * (i % 90)) for i in range(1200)]
     lines += [line(1200, price=5, text="entrada de 1000 e 12x 700"), line(1201, price=1), line(1202, price=0)]

@@ -166,6 +166,8 @@ def test_sampling(spark):
     per = {r.g: r["count"] for r in picked.groupBy("g").count().collect()}
     assert per["hot"] == 400 and sum(per.values()) == 500
     assert picked.exceptAll(sampling.stratified_sample(df.repartition(7), ["g"], "id", 500)).count() == 0
+    # a margin that leaves too few rows near a quota is noticed, and the sample is the same
+    assert picked.exceptAll(sampling.stratified_sample(df, ["g"], "id", 500, margin=-5)).count() == 0
     train, test = sampling.split(df, "id")
     assert train.count() + test.count() == 5000 and 3800 < train.count() < 4200
     assert sampling.bounded_sample(df, "id", 50).distinct().count() == 50
