@@ -138,3 +138,12 @@ def test_stages_keep_columns_and_stand_awkward_rows(spark, sf_dir, stage):
     for rows in (TEXTS, []):
         out = corpus_pipeline.STAGES[stage][1](spark, documents(spark, rows), sf_dir)
         assert out.columns == documents(spark, []).columns and out.count() <= len(rows)
+
+
+def test_encode_stage_stands_awkward_rows(spark, sf_dir):
+    """The last stage returns rows of its own: one per document, nulls and empty texts too."""
+    last = corpus_pipeline.STAGES[-1][1]
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {(r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in last(spark, documents(spark), sf_dir).collect()}
+    assert got == {(i, len(pieces.encode(t or "")), brute.sha(pieces.decode(pieces.encode(t or "")))) for i, t in TEXTS}
+    assert last(spark, documents(spark, []), sf_dir).count() == 0
