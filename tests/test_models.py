@@ -496,3 +496,82 @@ def test_demand_runs_by_state_and_model(spark, sf_dir):
     from forecourt.plans import ENTRIES
 
     assert ENTRIES["demand_forecasts"].run(spark, sf_dir).columns == ["state", "model", "period", "yhat"]
+
+
+def _by_hand(model, block, trees, width, bins=32):
+    """One boosted model grown node by node on all rows at once."""
+    from forecourt.operators import boosting as bo
+
+    y, x = block.target, block.bins
+    base = bo.row_weights(bo.replace(model, row_share=1.0), block, 0).astype(float)
+    out = np.full(len(y), (base @ y) / base.sum())
+    for t in range(trees):
+        w, columns = bo.row_weights(model, block, t).astype(float), np.flatnonzero(bo.drawn_columns(model, t, width))
+        gap, value = y - out, np.zeros(len(y))
+
+        def split(rows, depth):
+            g, h = (w * gap)[rows].sum(), w[rows].sum()
+            best = (0, None)
+            for c in columns if depth < model.depth else []:
+                for cut in range(bins):
+                    left = rows & (x[:, c] <= cut)
+                    right = rows & ~left
+                    if min(w[left].sum(), w[right].sum()) < model.min_weight:
+                        continue
+                    score = lambda r: (w * gap)[r].sum() ** 2 / (w[r].sum() + model.l2)
+                    gain = score(left) + score(right) - g * g / (h + model.l2)
+                    if gain > best[0] * (1 + 1e-9) + 1e-6:
+                        best = (gain, (left, right))
+            if best[1] is None:
+                value[rows] = g / (h + model.l2)
+            else:
+                for side in best[1]:
+                    split(side, depth + 1)
+
+        split(np.ones(len(y), bool), 0)
+        out += model.step * value
+    return out
+
+
+def test_models_grown_together_equal_each_by_hand(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from forecourt.operators import boosting as bo
+
+    draw = np.random.default_rng(3)
+    rows = [(i, [float(draw.integers(9)), float(draw.normal()), float(draw.integers(3))], i % 4) for i in range(400)]
+    rows = [(i, x, 10 * x[0] + 40 * x[1] + 7 * x[2] * x[1] + float(draw.normal()), f) for i, x, f in rows]
+    df = spark.createDataFrame(rows, "id long, x array<double>, price double, _fold int").withColumn("features", array_to_vector("x"))
+    models = [bo.Boosted(3, 0.3), bo.Boosted(2, 0.1, 0.7, 0.6, seed=5), bo.Boosted(3, 0.2, 0.8, seed=9, resample=True), bo.Boosted(1, 0.5, without=2)]
+    blocks, scores = bo.grow(bo.binned(df, "id", "price", 3, "_fold"), models, 3, 4, marks=(2, 4), cut_every=2)
+    found = blocks.collect()
+    assert sorted(k for b in found for k in b.keys) == list(range(400))
+    whole = bo.Block(*[np.concatenate([getattr(b, c) for b in found]) for c in ("keys", "target", "bins", "ids", "fold")])
+    got = np.concatenate([b.prediction for b in found], axis=1)
+    for i, m in enumerate(models):
+        assert got[i] == pytest.approx(_by_hand(m, whole, 4, 3), rel=1e-4, abs=1e-2), m
+    held = whole.fold == 2
+    left = ((whole.target - _by_hand(models[3], whole, 2, 3)) ** 2)[held].sum()
+    assert scores[2][3] == pytest.approx(1 - left / ((whole.target[held] - whole.target[held].mean()) ** 2).sum(), abs=1e-4)
+    assert scores[4][3] > scores[2][3] and scores[4][0] == 0
+
+
+def test_draws_of_rows_and_columns(spark):
+    from forecourt.operators import boosting as bo
+
+    ids = np.arange(50_000, dtype=np.uint64) * np.uint64(7919)
+    block = bo.Block([], np.zeros(len(ids)), np.zeros((len(ids), 2), np.uint8), ids, np.zeros(len(ids), np.int32))
+    again = bo.row_weights(bo.Boosted(seed=4, resample=True), block, 0)
+    assert again.mean() == pytest.approx(1, abs=0.03) and again.var() == pytest.approx(1, abs=0.06)
+    first, second = (bo.row_weights(bo.Boosted(row_share=0.8), block, t) for t in (0, 1))
+    assert first.mean() == pytest.approx(0.8, abs=0.01) and (first & second).mean() == pytest.approx(0.64, abs=0.01)
+    assert [bo.drawn_columns(bo.Boosted(column_share=s), 0, 6).sum() for s in (1.0, 0.8, 0.01)] == [6, 5, 1]
+
+
+def test_refits_stand_awkward_rows(spark, market):
+    none = pricing.prediction_spread(market.limit(0), "listing_id", INPUTS, pricing.boosted(INPUTS, 2, 2), refits=2)
+    assert none.count() == 0 and none.columns == ["listing_id", "price", "prediction", "uncertainty"]
+    odd = market.limit(60).withColumns({"odometer": F.when(F.col("listing_id") < "l0030", F.col("odometer")), "manufacturer": F.lit(None).cast("string"),
+                                        "features": F.lit(1), "keys": F.lit(2)})
+    got = pricing.prediction_spread(odd.unionByName(odd), "listing_id", INPUTS, pricing.boosted(INPUTS, 2, 2), refits=2)
+    assert got.count() == 120 and got.where("prediction is null or uncertainty is null").isEmpty()
