@@ -533,11 +533,14 @@ def _by_hand(model, block, trees, width, bins=32):
     return out
 
 
-def test_models_grown_together_equal_each_by_hand(spark):
+@pytest.mark.parametrize("merged", [48 << 20, 1000])
+def test_models_grown_together_equal_each_by_hand(spark, monkeypatch, merged):
+    """Sums merged at once, or by model in tasks of their own: the same trees."""
     from pyspark.ml.functions import array_to_vector
 
     from forecourt.operators import boosting as bo
 
+    monkeypatch.setattr(bo, "MERGED_BYTES", merged)
     draw = np.random.default_rng(3)
     rows = [(i, [float(draw.integers(9)), float(draw.normal()), float(draw.integers(3))], i % 4) for i in range(400)]
     rows = [(i, x, 10 * x[0] + 40 * x[1] + 7 * x[2] * x[1] + float(draw.normal()), f) for i, x, f in rows]
