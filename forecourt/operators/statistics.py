@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from forecourt.functions.numbers import half_up, ratio
 from forecourt.functions.tails import chi_square_quantile, t_p
 from forecourt.operators.drift import long_numbers, long_texts, numeric_drift
-from forecourt.operators.joins import join_on
+from forecourt.operators.joins import join_on, known_size
 from forecourt.operators.quantiles import (
     QUARTILES, absolute_deviation, one_row, quantile_values, quantiles, value_counts, values_at_ranks)
 
@@ -156,7 +156,7 @@ def mahalanobis_outliers(df: DataFrame, columns: list[str], share: float = 0.975
     The driver inverts one p x p covariance matrix; distances are native expressions.
     """
     p = len(columns)
-    filled = df
+    filled = df = known_size(df)  # read once per column and twice more
     for c in columns:
         q = quantiles(df, c, QUARTILES).first()
         spread = (q.q3 - q.q1) or 1.0
