@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forecourt.operators.joins import join_on
+from forecourt.operators.joins import join_on, known_size
 
 
 def lot(seed: int, *columns: str) -> Column:
@@ -71,12 +71,14 @@ def stratified_sample(df: DataFrame, strata: list[str], key: str, size: int = 10
     Rows whose lot is far above the stratum's share are dropped before any shuffle, so only
     about ``size`` rows are ranked however large a stratum is. The ``margin`` is in standard
     deviations; the rows left are counted, and if a stratum should lack some of its quota all rows are ranked.
+    Rows, strata and the rows left are written, as each is read more than once.
     """
-    counts = df.groupBy(*strata).agg(F.count("*").alias("_n"))
-    wanted = quotas(counts, size)
+    df = known_size(df)
+    counts = known_size(df.groupBy(*strata).agg(F.count("*").alias("_n")))
+    wanted = known_size(quotas(counts, size))
     rows = join_on(df.withColumn("_lot", lot(seed, key)), wanted, strata, nulls_match=True)
     q = F.col("quota")
-    near = rows.where(F.col("_lot") * F.col("_n") <= q + margin * F.sqrt(q.cast("double")) + 2 * margin)
+    near = known_size(rows.where(F.col("_lot") * F.col("_n") <= q + margin * F.sqrt(q.cast("double")) + 2 * margin))
     left = near.groupBy(*strata).agg(F.count("*").alias("_left"))
     full = join_on(wanted.where(q > 0), left, strata, "left", nulls_match=True)
     if not full.where(F.coalesce("_left", F.lit(0)) < F.least(q, F.col("_n"))).isEmpty():
