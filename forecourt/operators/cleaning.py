@@ -202,8 +202,9 @@ def drop_wide_outliers(df: DataFrame, columns: tuple[str, ...] = ("price", "odom
     """Keep P1 - 1.5 spread .. P99 + 1.5 spread, one column after another; nulls go.
 
     Two numbers per column come to the driver, so each fence is a literal that the Parquet
-    reader can use to skip row groups.
+    reader can use to skip row groups of the written rows.
     """
+    df = known_size(df)
     for c in columns:
         q = quantiles(df, c, {"a": 0.01, "b": 0.99}).first()
         if q is None:
