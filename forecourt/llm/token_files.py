@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,8 +37,8 @@ from forecourt.llm.common import arrow_type, as_text, rows_of, shared_folder
 LIMIT = 20
 BLOCK = 262_144
 EVERY = 128
-#: Words kept for look-up until the table is laid aside for a new one.
-CACHE = 300_000
+#: Pieces kept for look-up until the table is laid aside for a new one.
+CACHE = 200_000
 
 
 # Code
@@ -145,20 +148,49 @@ def crc_of_parts(parts: list[tuple[int, int]]) -> int:
 # Ids
 
 
+#: Latin-1 as the rules class it: lower-case letters, numbers, and marks other than ``<``, which may begin a special token.
+_LETTERS, _NUMBERS, _MARKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", r"!-/:;=-@\[-`{-~¡-©«¬®-±´¶-¸»¿×÷"
+ODD = f"[^{_LETTERS}{_NUMBERS}{_MARKS}]"
+PIECE = f"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[{_MARKS}]+)"
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Pieces encoded as one text, and characters of text looked up at once.
+JOINED, LOOKED_UP = 256, 1 << 20
+
+
 class WordTokenizer:
-    """Ids of a ``tokenizers`` file, looked up word by word if its rules never look across a space."""
+    """Ids of a ``tokenizers`` file, looked up word by word if its rules never look across a space.
+
+    Distinct words are cut into the pieces that the rules would cut them into, and pieces new to the table are encoded many in
+    one text: the suffix that ends a piece tells them apart again. Words with other characters are pieces as they are.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.path, self.cache = path, cache
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = self._splits_at_spaces(spec)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_piece = self.by_word and bool(suffix) and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        if self.by_piece:
+            # a piece is lower case, composed and cut already
+            bare = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            steps = [bare, *spec["pre_tokenizer"]["pretokenizers"][1:]]
+            self.of_pieces = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}}))
+        vocabulary = (self.of_pieces if self.by_piece else self.tokenizer).get_vocab(with_added_tokens=True)
+        self.size = len(vocabulary)
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.odd, self.is_end = re.compile(ODD).search, np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if self.by_piece:
+            self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The whole rules; plain pieces never need them."""
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _splits_at_spaces(spec: dict) -> bool:
         """Normalisation by NFC, space runs and case only; words matched by a pattern without spaces; added tokens as they stand."""
@@ -173,34 +205,72 @@ class WordTokenizer:
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: set[str]) -> None:
-        """Puts words in the table; a letter before a lone full stop or comma ends a word of its own."""
-        words, older, marks = self.words, self.older, dict(zip(".,", self._pack([".", ","])))
-        found: dict[str, bytes | None] = {}
-        ended = []
-        for w in missing:
-            if w[-1] in marks and w[-2:-1].isalpha():
-                ended.append(w)
-                w = w[:-1]
-            found[w] = words.get(w) or older.get(w)
-        unseen = [w for w, v in found.items() if v is None]
-        found.update(zip(unseen, self._pack(unseen)))
-        words.update(found)
-        words.update([(w, found[w[:-1]] + marks[w[-1]]) for w in ended])
+    def _pack_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded some hundred in one text and parted after each id that ends a piece."""
+        groups = [pieces[i:i + JOINED] for i in range(0, len(pieces), JOINED)]
+        out: list[bytes] = []
+        for group, found in zip(groups, self.of_pieces.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(found.ids, self.width)
+            ends = (np.flatnonzero(self.is_end[ids]) + 1) * ids.itemsize
+            if len(ends) != len(group):  # a character that the vocabulary lacks
+                out += self._pack(group)
+                continue
+            packed, ends = ids.tobytes(), ends.tolist()
+            out += [packed[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    def _learn(self, missing: list[str]) -> None:
+        """Puts pieces in the table."""
+        older, words, unseen, whole = self.older, self.words, [], []
+        for p in missing:
+            if (known := older.get(p)) is not None:
+                words[p] = known
+            elif self.by_piece and not self.odd(p):
+                unseen.append(p)
+            else:
+                whole.append(p)
+        words.update(zip(unseen, self._pack_pieces(unseen)))
+        words.update(zip(whole, self._pack(whole)))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as integers of ``width``."""
         if not self.by_word:
             return self._pack(texts)
+        out: list[bytes] = []
+        some, size = [], 0
+        for t in texts:
+            some.append(self._lower(t).replace("\n", " "))
+            size += len(t)
+            if size >= LOOKED_UP:
+                out += self._looked_up(some)
+                some, size = [], 0
+        return out + self._looked_up(some) if some else out
+
+    def _looked_up(self, texts: list[str]) -> list[bytes]:
+        """Each distinct word of the texts is cut, and each distinct piece looked up, once; ids are copied to all their places."""
         if len(self.words) > self.cache:
             self.older, self.words = self.words, {}
         self.words[""] = b""
-        split = [self._lower(t).replace("\n", " ").split(" ") for t in texts]
-        missing = set().union(*split).difference(self.words)
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        cut = words.dictionary
+        if self.by_piece:
+            mixed = pc.and_not(pc.match_substring_regex(cut, f"[^{_LETTERS}]"), pc.match_substring_regex(cut, ODD))
+            cut = pc.replace_with_mask(cut, mixed, pc.utf8_rtrim(pc.replace_substring_regex(cut.filter(mixed), PIECE, r"\1 "), " "))
+        cut = pc.split_pattern(cut, " ")
+        pieces = cut.flatten().dictionary_encode()
+        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        missing = [p for p in distinct if p not in self.words]
         if missing:
             self._learn(missing)
-        get = self.words.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+        packed = list(map(self.words.__getitem__, distinct))
+        ids = np.frombuffer(b"".join(packed), self.width)
+        each = np.dtype(self.width).itemsize
+        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // each
+        ids, lengths = _in_lists(ids, lengths, pieces.indices.to_numpy(), cut.offsets.to_numpy())
+        ids, lengths = _in_lists(ids, lengths, words.indices.to_numpy(), split.offsets.to_numpy())
+        found, ends = ids.tobytes(), (np.cumsum(lengths) * each).tolist()
+        return [found[a:b] for a, b in zip([0, *ends], ends)]
 
     @staticmethod
     def _lower(text: str) -> str:
@@ -212,6 +282,15 @@ class WordTokenizer:
         return text if "<|" in text else text.lower()
 
 
+def _in_lists(ids: np.ndarray, lengths: np.ndarray, which: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of lists of parts, and their number per list; ``ids`` has those of the parts, ``which`` the parts of all lists."""
+    count = lengths[which]
+    upto = np.concatenate(([0], np.cumsum(count)))
+    # where each id comes from: the start of its part, and its number in it
+    places = np.repeat((np.cumsum(lengths) - lengths)[which] - upto[:-1], count) + np.arange(upto[-1])
+    return ids[places], np.diff(upto[offsets - offsets[0]])
+
+
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
@@ -229,8 +308,8 @@ def tokenize(docs: DataFrame, path: str, end_id: int, text: str = "text", key: s
         own = tokenizer(path)
         end = np.array([end_id], own.width).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids = [x + end for x in own.encode_all(part.column("body").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(ids, pa.binary())], ["key", "ids"])
 
@@ -244,8 +323,8 @@ def count_ids(tokens: DataFrame, width: str) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch["ids"]:
-                found = np.bincount(np.frombuffer(ids, width))
+            for at in range(0, len(batch), 512):
+                found = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at:at + 512]), width))
                 if len(found) > len(total):
                     total = np.pad(total, (0, len(found) - len(total)))
                 total[: len(found)] += found

@@ -110,6 +110,18 @@ def test_word_by_word_equals_whole_texts():
         assert np.frombuffer(packed, own.width).tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_new_words_are_encoded_many_at_once(monkeypatch):
+    own, whole = token_files.WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    alone = []
+    monkeypatch.setattr(own, "_pack", lambda texts, pack=own._pack: alone.extend(texts) or pack(texts))
+    random.seed(4)
+    words = ["".join(random.choices("abcdeéüµß", k=9)) + random.choice(["", ".", ",&&&", "'s", "''s!", "7²"]) for _ in range(3000)]
+    texts = [" ".join(words[i:i + 7]) for i in range(0, len(words), 7)] + ["", " ", "日本 a<b <|endoftext|> x\xady"]
+    for t, packed in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(packed, own.width).tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    assert len(alone) <= 4
+
+
 @pytest.mark.parametrize("block", [7, 100_000])
 def test_files_read_back(spark, tmp_path, block):
     tokens = token_files.tokenize(documents(spark), WORDS, 2)
