@@ -47,6 +47,30 @@ def test_source_rows_are_made_once(counted, name):
     assert seen.value == 200
 
 
+@pytest.mark.parametrize("run", [
+    lambda df: segments.elbow(df, range(1, 4)),
+    lambda df: statistics.robust_prices(df, ["manufacturer", "state"]),
+], ids=["elbow", "robust prices"])
+def test_rows_of_many_steps_are_made_once(counted, run):
+    df, seen = counted
+    run(df).collect()
+    assert seen.value == 200
+
+
+def test_elbow_is_that_of_a_run_per_k(counted):
+    """Runs grown side by side end at the centres, costs and silhouettes of one after the other."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    df = counted[0].select(*FEATURES).coalesce(1).localCheckpoint()
+    rows = segments.scaled(df, FEATURES, "minmax").select("features")
+    got = {r.k: r for r in segments.elbow(df, range(2, 5)).collect()}
+    for k in got:
+        model = KMeans(k=k, seed=42).fit(rows)
+        assert got[k].cost == pytest.approx(model.summary.trainingCost)
+        assert got[k].silhouette == pytest.approx(ClusteringEvaluator().evaluate(model.transform(rows)))
+
+
 def test_outlier_factors_of_crowded_places(spark):
     """Listings that share a place share their factor; the lists are those of pairing all rows."""
     rng = np.random.default_rng(8)
