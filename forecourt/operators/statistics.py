@@ -61,11 +61,11 @@ def robust_prices(df: DataFrame, groups: list[str]) -> DataFrame:
     named = [F.struct(F.lit("overall").alias("group_column"), F.lit("all").alias("group_value"))]
     named += [F.struct(F.lit(g).alias("group_column"), F.col(g).cast("string").alias("group_value")) for g in groups]
     by = ["group_column", "group_value"]
-    # counted per price first, so the copies for each grouping are made of counts
+    # counted per price first, so the copies for each grouping are made of counts; written, as each step below reads them anew
     priced = df.where(F.col("price").isNotNull()).groupBy(*groups, "price").agg(F.count("*").alias("_n"))
     long = priced.select(F.explode(F.array(*named)).alias("g"), "price", "_n").select("g.*", "price", "_n")
-    long = long.where(F.col("group_value").isNotNull()).groupBy(*by, "price").agg(F.sum("_n").alias("_n"))
-    q = quantiles(long, "price", QUARTILES, by, weight="_n")
+    long = known_size(long.where(F.col("group_value").isNotNull()).groupBy(*by, "price").agg(F.sum("_n").alias("_n")))
+    q = known_size(quantiles(long, "price", QUARTILES, by, weight="_n"))
     count = long.groupBy(*by).agg(F.sum("_n").alias("count"))
     gaps = join_on(long, q.select(*by, "median"), by).withColumn("_gap", F.abs(F.col("price") - F.col("median")))
     mad = quantiles(gaps, "_gap", {"mad": 0.5}, by, weight="_n")
