@@ -578,3 +578,41 @@ def test_refits_stand_awkward_rows(spark, market):
                                         "features": F.lit(1), "keys": F.lit(2)})
     got = pricing.prediction_spread(odd.unionByName(odd), "listing_id", INPUTS, pricing.boosted(INPUTS, 2, 2), refits=2)
     assert got.count() == 120 and got.where("prediction is null or uncertainty is null").isEmpty()
+
+
+def test_rows_of_equal_bins_grow_as_one_cell(spark):
+    """Whatever the draws, a cell gets what its rows would get one by one."""
+    from pyspark.ml.functions import array_to_vector
+
+    from forecourt.operators import boosting as bo
+
+    rows = [(i, [float(i % 5), float(i % 3)], 10.0 * (i % 5) + (i * 7919) % 11, i % 4) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, price double, _fold int").withColumn("features", array_to_vector("x"))
+    table = bo.binned(df, "id", "price", 2, "_fold")
+    cells = [bo._opened(2, r) for r in table.collect()]
+    assert sum(len(c.rows.target) for c in cells) == 600 and sum(len(c.first) for c in cells) <= 15 + table.rdd.getNumPartitions()
+    models = [bo.Boosted(2, 0.3), bo.Boosted(3, 0.1, 0.7, seed=5), bo.Boosted(2, 0.2, 0.8, seed=9, resample=True), bo.Boosted(2, 0.5, without=2)]
+    found = bo.grow(table, models, 2, 3)[0].collect()
+    whole = bo.Block(*[np.concatenate([getattr(b, c) for b in found]) for c in ("keys", "target", "bins", "ids", "fold")])
+    got = np.concatenate([b.prediction for b in found], axis=1)
+    assert sorted(whole.keys) == list(range(600)) and all(y == rows[k][2] for k, y in zip(whole.keys, whole.target))
+    for i, m in enumerate(models):
+        assert got[i] == pytest.approx(_by_hand(m, whole, 3, 2), rel=1e-4, abs=1e-2), m
+
+
+def test_model_rows_lie_on_all_cores(spark, tmp_path):
+    """A table of one row group would be one task for every pass of a learner."""
+    from forecourt.plans import modelling
+    from forecourt.sources import Market
+
+    n = 4000
+    lines = spark.range(n).selectExpr(
+        "id AS l_orderkey", "id % 50 AS l_partkey", "id % 7 AS l_suppkey", "1 AS l_linenumber", "cast(id AS double) AS l_extendedprice",
+        "cast(id % 50 AS double) AS l_quantity", "'A' AS l_returnflag", "'F' AS l_linestatus")
+    orders = spark.range(n).selectExpr("id AS o_orderkey", "date'1995-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority")
+    parts = spark.range(50).selectExpr("id AS p_partkey", "'Brand#1' AS p_brand", "'name' AS p_name", "'kind' AS p_type")
+    for name, df in {"lineitem": lines, "orders": orders, "part": parts}.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = modelling._model_rows(Market(spark, str(tmp_path)))
+    held = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(held) == n and max(held) < n / 2 and rows.select("listing_id").distinct().count() == n
