@@ -18,12 +18,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -37,8 +35,8 @@ from forecourt.llm.common import arrow_type, as_text, rows_of, shared_folder
 LIMIT = 20
 BLOCK = 262_144
 EVERY = 128
-#: Pieces kept for look-up until the table is laid aside for a new one.
-CACHE = 200_000
+#: Pieces kept for look-up until only those of the texts at hand are kept.
+CACHE = 300_000
 
 
 # Code
@@ -154,7 +152,7 @@ ODD = f"[^{_LETTERS}{_NUMBERS}{_MARKS}]"
 PIECE = f"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[{_MARKS}]+)"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pieces encoded as one text, and characters of text looked up at once.
-JOINED, LOOKED_UP = 256, 1 << 20
+JOINED, LOOKED_UP = 256, 1 << 22
 
 
 class WordTokenizer:
@@ -180,11 +178,11 @@ class WordTokenizer:
         vocabulary = (self.of_pieces if self.by_piece else self.tokenizer).get_vocab(with_added_tokens=True)
         self.size = len(vocabulary)
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.odd, self.is_end = re.compile(ODD).search, np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.is_end = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         if self.by_piece:
             self.is_end[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # the table of pieces: their spellings, their ids one after another, and how many ids each has
+        self.known, self.ids, self.lengths = pa.array([""], pa.large_string()), np.zeros(0, self.width), np.zeros(1, np.int64)
 
     @cached_property
     def tokenizer(self) -> Tokenizer:
@@ -205,32 +203,45 @@ class WordTokenizer:
     def _pack(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.width).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pack_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, encoded some hundred in one text and parted after each id that ends a piece."""
-        groups = [pieces[i:i + JOINED] for i in range(0, len(pieces), JOINED)]
-        out: list[bytes] = []
-        for group, found in zip(groups, self.of_pieces.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, self.width)
-            ends = (np.flatnonzero(self.is_end[ids]) + 1) * ids.itemsize
-            if len(ends) != len(group):  # a character that the vocabulary lacks
-                out += self._pack(group)
-                continue
-            packed, ends = ids.tobytes(), ends.tolist()
-            out += [packed[a:b] for a, b in zip([0, *ends], ends)]
-        return out
-
-    def _learn(self, missing: list[str]) -> None:
-        """Puts pieces in the table."""
-        older, words, unseen, whole = self.older, self.words, [], []
-        for p in missing:
-            if (known := older.get(p)) is not None:
-                words[p] = known
-            elif self.by_piece and not self.odd(p):
-                unseen.append(p)
-            else:
-                whole.append(p)
-        words.update(zip(unseen, self._pack_pieces(unseen)))
-        words.update(zip(whole, self._pack(whole)))
+    def _ids_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by the whole rules, and their number per text."""
+        packed = self._pack(texts)
+        ids = np.frombuffer(b"".join(packed), self.width)
+        return ids, np.fromiter(map(len, packed), np.int64, len(packed)) // ids.itemsize
+
+    def _ids_of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, and their number per piece: some hundred are one text, whose ids part after each that ends a piece."""
+        at = np.append(np.arange(0, len(pieces), JOINED), len(pieces))
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pieces), pa.scalar(" ", pieces.type))
+        ids, lengths = [np.zeros(0, self.width)], [np.zeros(0, np.int64)]
+        for i in range(0, len(texts), JOINED):
+            for k, found in enumerate(self.of_pieces.encode_batch_fast(texts.slice(i, JOINED).to_pylist(), add_special_tokens=False), i):
+                here = np.array(found.ids, self.width)
+                count = np.diff(np.flatnonzero(self.is_end[here]), prepend=-1)
+                if len(count) != at[k + 1] - at[k]:  # a character that the vocabulary lacks
+                    here, count = self._ids_whole(pieces.slice(at[k], at[k + 1] - at[k]).to_pylist())
+                ids.append(here)
+                lengths.append(count)
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _ids_of(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces, and their number per piece; new ones are put in the table."""
+        at = pc.index_in(distinct, self.known).fill_null(-1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = distinct.take(pa.array(new))
+            odd = pc.match_substring_regex(missing, ODD).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(new), bool)
+            plain, whole = (missing.filter(pa.array(x)) for x in (~odd, odd))
+            parts = [self._ids_of_pieces(plain)] if len(plain) else []
+            parts += [self._ids_whole(whole.to_pylist())] if len(whole) else []
+            at[np.concatenate((new[~odd], new[odd]))] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, plain, whole])
+            self.ids = np.concatenate((self.ids, *(x for x, _ in parts)))
+            self.lengths = np.concatenate((self.lengths, *(x for _, x in parts)))
+        ids, lengths = _in_lists(self.ids, self.lengths, at, np.arange(len(at) + 1))
+        if len(self.known) > self.cache:
+            self.known, self.ids, self.lengths = distinct, ids, lengths
+        return ids, lengths
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as integers of ``width``."""
@@ -248,9 +259,6 @@ class WordTokenizer:
 
     def _looked_up(self, texts: list[str]) -> list[bytes]:
         """Each distinct word of the texts is cut, and each distinct piece looked up, once; ids are copied to all their places."""
-        if len(self.words) > self.cache:
-            self.older, self.words = self.words, {}
-        self.words[""] = b""
         split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         words = split.flatten().dictionary_encode()
         cut = words.dictionary
@@ -259,17 +267,10 @@ class WordTokenizer:
             cut = pc.replace_with_mask(cut, mixed, pc.utf8_rtrim(pc.replace_substring_regex(cut.filter(mixed), PIECE, r"\1 "), " "))
         cut = pc.split_pattern(cut, " ")
         pieces = cut.flatten().dictionary_encode()
-        distinct = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
-        missing = [p for p in distinct if p not in self.words]
-        if missing:
-            self._learn(missing)
-        packed = list(map(self.words.__getitem__, distinct))
-        ids = np.frombuffer(b"".join(packed), self.width)
-        each = np.dtype(self.width).itemsize
-        lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // each
+        ids, lengths = self._ids_of(pieces.dictionary)
         ids, lengths = _in_lists(ids, lengths, pieces.indices.to_numpy(), cut.offsets.to_numpy())
         ids, lengths = _in_lists(ids, lengths, words.indices.to_numpy(), split.offsets.to_numpy())
-        found, ends = ids.tobytes(), (np.cumsum(lengths) * each).tolist()
+        found, ends = ids.tobytes(), (np.cumsum(lengths) * ids.itemsize).tolist()
         return [found[a:b] for a, b in zip([0, *ends], ends)]
 
     @staticmethod
@@ -287,7 +288,9 @@ def _in_lists(ids: np.ndarray, lengths: np.ndarray, which: np.ndarray, offsets:
     count = lengths[which]
     upto = np.concatenate(([0], np.cumsum(count)))
     # where each id comes from: the start of its part, and its number in it
-    places = np.repeat((np.cumsum(lengths) - lengths)[which] - upto[:-1], count) + np.arange(upto[-1])
+    short = np.int32 if max(upto[-1], len(ids)) < 1 << 31 else np.int64
+    places = np.repeat(((np.cumsum(lengths) - lengths)[which] - upto[:-1]).astype(short), count)
+    places += np.arange(upto[-1], dtype=short)
     return ids[places], np.diff(upto[offsets - offsets[0]])
 
 
@@ -320,18 +323,18 @@ def tokenize(docs: DataFrame, path: str, end_id: int, text: str = "text", key: s
 def count_ids(tokens: DataFrame, width: str) -> DataFrame:
     """``id, n`` over all documents; each task adds its own up first."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                found = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at:at + 512]), width))
+            for at in range(0, batch.num_rows, 512):
+                found = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(at, 512).to_pylist()), width))
                 if len(found) > len(total):
                     total = np.pad(total, (0, len(found) - len(total)))
                 total[: len(found)] += found
         seen = np.flatnonzero(total)
-        yield pd.DataFrame({"id": seen, "n": total[seen]})
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    return tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # Files
@@ -339,6 +342,8 @@ def count_ids(tokens: DataFrame, width: str) -> DataFrame:
 
 def write_files(tokens: DataFrame, folder: str, width: str, limit: int = LIMIT, block: int = BLOCK, every: int = EVERY) -> None:
     """Writes ``folder/code`` (id, length) and ``folder/blocks``; files and blocks go by ascending key."""
+    import pandas as pd  # here only, as tasks need no pandas and it takes some 40 MB of each Python worker
+
     spark = tokens.sparkSession
     counts = count_ids(tokens, width).toPandas().sort_values("id")  # at most one row per id of the vocabulary
     lengths = code_lengths(counts["n"].to_numpy(), limit)
@@ -424,16 +429,19 @@ def decode_pieces(spark: SparkSession, folder: str, every: int = EVERY) -> DataF
         decode, f"key {kind}, part int, doc long, start long, n long, piece int, ids binary")
 
 
-def _whole_crc(parts: pd.Series) -> pd.Series:
-    return pd.Series([int(x[0]["crc"]) if len(x) == 1 else crc_of_parts([(p["crc"], p["bytes"]) for p in x]) for x in parts], dtype="int64")
-
-
 def digest_files(spark: SparkSession, folder: str, every: int = EVERY) -> DataFrame:
     """``key, start, n_tokens, ids_crc32`` of each document, read back from the files."""
     pieces = decode_pieces(spark, folder, every).select("key", "part", "doc", "start", "n", F.struct(
         "piece", F.crc32("ids").alias("crc"), F.octet_length("ids").alias("bytes")).alias("digest"))
     whole = pieces.groupBy("part", "doc", "key", "start", "n").agg(F.array_sort(F.collect_list("digest")).alias("parts"))
-    return whole.select("key", "start", F.col("n").alias("n_tokens"), F.pandas_udf(_whole_crc, "long")("parts").alias("ids_crc32"))
+    kind = whole.schema["key"].dataType.simpleString()
+
+    def crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x[0]["crc"] if len(x) == 1 else crc_of_parts([(p["crc"], p["bytes"]) for p in x]) for x in batch.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.int64())], ["key", "start", "n_tokens", "ids_crc32"])
+
+    return whole.select("key", "start", F.col("n").alias("n_tokens"), "parts").mapInArrow(crcs, f"key {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, path: str, end_id: int, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -1,6 +1,11 @@
+import gc
 import hashlib
 import random
+import subprocess
+import sys
+import tracemalloc
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -122,6 +127,28 @@ def test_new_words_are_encoded_many_at_once(monkeypatch):
     assert len(alone) <= 4
 
 
+def test_table_of_pieces_takes_little_memory():
+    """Known pieces are columns, not a Python object each, and their number is bounded by the cache and the texts at hand."""
+    random.seed(5)
+    words = list({"".join(random.choices("abcdefgh", k=8)) for _ in range(20_000)})
+    texts = [" ".join(words[i:i + 100]) for i in range(0, len(words), 100)]
+    own = token_files.WordTokenizer(WORDS, cache=30_000)
+    want = own.encode_all(texts[:1])
+    tracemalloc.start()
+    own.encode_all(texts)
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 60 * len(words)
+    own.encode_all([t[::-1] for t in texts])
+    assert len(own.known) <= 30_000 and own.encode_all(texts[:1]) == want
+
+
+def test_tasks_load_no_pandas():
+    code = "import sys, forecourt.llm.token_files; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2]).returncode == 0
+
+
 @pytest.mark.parametrize("block", [7, 100_000])
 def test_files_read_back(spark, tmp_path, block):
     tokens = token_files.tokenize(documents(spark), WORDS, 2)
