@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from forecourt.operators import cleaning, neighbours, sampling, segments, statistics
+from forecourt.operators import cleaning, features, neighbours, sampling, segments, statistics
 
 FEATURES = ["price", "year", "odometer"]
 
@@ -57,6 +57,34 @@ def test_rows_of_many_steps_are_made_once(counted, run):
     assert seen.value == 200
 
 
+def wide(df):
+    return df.withColumns({
+        "model": F.when(F.col("odometer") > 9000, F.concat(F.lit("x"), F.col("year"))), "manufacturer": F.nullif("manufacturer", F.lit("m2")), "type": F.lit("sedan"),
+        "fuel": F.lit("gas"), "condition": F.lit("good"), "latitude": F.col("price") / 100, "longitude": F.col("year") / 10,
+        "posting_date": F.date_add(F.lit("2020-01-01").cast("date"), (F.col("odometer") / 500).cast("int")), "description": F.lit("like new")})
+
+
+def test_rows_of_the_feature_table_are_made_once(counted):
+    df, seen = counted
+    assert features.feature_table(wide(df), "listing_id").count() == 200 and seen.value == 200
+
+
+def test_figures_of_the_feature_table_need_their_own_keys_only(counted):
+    """Figures of make, model, week and month come in one join; a missing model takes none of its make's."""
+    df = wide(counted[0]).localCheckpoint()
+    rows = features.feature_table(df, "listing_id").collect()
+    plain = {r.listing_id: r for r in df.collect()}
+    mean = lambda x: pytest.approx(sum(x) / len(x)) if x else None
+    assert len(rows) == 200 and any(r.model is None and r.manufacturer for r in rows) and any(r.manufacturer is None for r in rows)
+    for r in rows:
+        make = [o for o in rows if o.manufacturer and o.manufacturer == r.manufacturer]
+        model = [o for o in make if o.model and o.model == r.model]
+        week, month = ([o for o in model if (o.posting_year, o[part]) == (r.posting_year, r[part])] for part in ("posting_week", "posting_month"))
+        assert r.avg_price_by_manufacturer == mean([o.price for o in make]) and r.avg_price_by_model == mean([o.price for o in model])
+        assert r.price_avg_by_week == mean([o.price for o in week]) and r.price_avg_by_month == mean([o.price for o in month])
+        assert r.listings_by_type == 200 and r.price == plain[r.listing_id].price and r.description_mentions_new == 1
+
+
 def test_elbow_is_that_of_a_run_per_k(counted):
     """Runs grown side by side end at the centres, costs and silhouettes of one after the other."""
     from pyspark.ml.clustering import KMeans
