@@ -616,3 +616,84 @@ def test_model_rows_lie_on_all_cores(spark, tmp_path):
     rows = modelling._model_rows(Market(spark, str(tmp_path)))
     held = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert sum(held) == n and max(held) < n / 2 and rows.select("listing_id").distinct().count() == n
+
+
+@pytest.mark.parametrize("most_cells", [1 << 21, 0])
+def test_boosted_trees_equal_those_of_spark(spark, monkeypatch, most_cells):
+    """Grown on cells in one task or level by level, the trees are those of Spark's learner if nothing is drawn; the model is one of Spark's."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    from forecourt.operators import boosting as bo
+
+    monkeypatch.setattr(bo, "MOST_CELLS", most_cells)
+    draw = np.random.default_rng(21)
+    rows = [(i, [float(draw.integers(9)), float(draw.integers(20)), float(draw.integers(2))]) for i in range(900)]
+    rows = [(i, x, 1000.0 + 50 * x[0] + 3 * x[1] * x[2] + float(draw.normal())) for i, x in rows]
+    df = spark.createDataFrame(rows, "_id long, x array<double>, price double").withColumn("features", array_to_vector("x"))
+    regressor = GBTRegressor(labelCol="price", maxIter=4, maxDepth=3, stepSize=0.2, seed=3)
+    got, want = bo.fit(df, regressor, "_id"), regressor.fit(df)
+    pairs = got.transform(df).withColumnRenamed("prediction", "mine").join(want.transform(df).select("_id", "prediction"), "_id").collect()
+    near = 1e-9 if most_cells else 1e-5  # level by level, sums are sent in single precision
+    assert [r.mine for r in pairs] == pytest.approx([r.prediction for r in pairs], rel=near)
+    assert got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=near)
+    assert list(got.treeWeights) == list(want.treeWeights) and got.getStepSize() == 0.2 and got.numFeatures == 3
+    drawn = GBTRegressor(labelCol="price", maxIter=4, maxDepth=3, subsamplingRate=0.7, featureSubsetStrategy="0.5", seed=3)
+    once, again = (bo.fit(d, drawn, "_id").transform(df).orderBy("_id").collect() for d in (df, df.repartition(7)))
+    assert [r.prediction for r in once] == pytest.approx([r.prediction for r in again], rel=near)
+
+
+def test_columns_drawn_per_node_as_spark_names_them():
+    from forecourt.operators import boosting as bo
+
+    assert [bo.columns_per_node(s, 6) for s in ("all", "auto", "sqrt", "log2", "onethird", "0.8", "1.0", "4", "9")] == [6, 6, 3, 3, 2, 5, 6, 4, 6]
+    masks = bo.node_columns(bo.Boosted(node_columns=2), np.array([True, True, False, True]), 0, 3)
+    assert masks.shape == (8, 4) and set(masks.sum(axis=1)) == {2} and not masks[:, 2].any() and len(np.unique(masks, axis=0)) > 1
+
+
+def test_price_models_go_through_rows_once(spark, market):
+    """Not a job per tree and level: as many jobs for many trees as for few."""
+    import uuid
+
+    def jobs(trees):
+        group = uuid.uuid4().hex
+        spark.sparkContext.setJobGroup(group, group)
+        pricing.train(market, INPUTS, pricing.boosted(INPUTS, trees, 3))
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(2) == jobs(20)
+
+
+def test_predictions_by_cell_equal_those_of_the_model(spark, market):
+    """Also at cuts, beyond all values, for numbers that are none, and for a model of one leaf."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor
+
+    from forecourt.operators import scoring
+
+    model = pricing.train(market, INPUTS, pricing.boosted(INPUTS, trees=12, depth=5))
+    trees = scoring.trees_of(model, spark)
+    x = np.random.default_rng(5).normal(0, 2, (500, 6))
+    x[:60] = [[c[(i * 7) % len(c)] if len(c) else 0.0 for c in trees.cuts] for i in range(60)]
+    x[60:70, 5], x[70:80, 4] = np.nan, np.inf
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>").withColumn("features", array_to_vector("x"))
+    want = [r.prediction for r in model.stages[-1].transform(df).orderBy("id").collect()]
+    assert trees.predicted(x) == pytest.approx(want, rel=1e-12)
+    cells = trees.cell(x)
+    assert all(len({round(want[i], 6) for i in np.flatnonzero(cells == c)}) == 1 for c in cells)
+    got = {r.listing_id: r.prediction for r in pricing.predict(model, market, INPUTS).collect()}
+    assert got == pytest.approx({r.listing_id: r.prediction for r in model.transform(INPUTS.prepare(market)).collect()}, rel=1e-12)
+    flat = market.withColumn("price", F.lit(7.0))
+    assert {r.prediction for r in pricing.predict(pricing.train(flat, INPUTS, GBTRegressor(labelCol="price", maxIter=2, maxDepth=2)), flat, INPUTS).collect()} == {7.0}
+
+
+def test_edges_lie_halfway_between_values():
+    from forecourt.operators import boosting as bo
+
+    assert bo.halfway(np.array([1.0, 2.0, 4.0]), np.array([5.0, 1.0, 1.0]), 32).tolist() == [1.5, 3.0]
+    assert len(bo.halfway(np.arange(100.0), np.ones(100), 32)) == 31
+    rare, often = np.arange(40.0), np.r_[np.ones(39), 1000.0]
+    assert bo.halfway(rare, often, 4).tolist() == [38.5]
+    values, times = bo._counted(np.array([1.0, 3.0]), np.array([2, 2]), np.array([3.0, 0.0, 3.0, 9.0]))
+    assert values.tolist() == [0.0, 1.0, 3.0, 9.0] and times.tolist() == [1, 2, 4, 1]
+    assert bo._counted(np.empty(0), np.empty(0), np.arange(5000.0)) is None
