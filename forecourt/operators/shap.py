@@ -21,7 +21,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forecourt.operators.joins import known_size
 from forecourt.operators.pricing import Inputs, usable
+from forecourt.operators.scoring import Trees, trees_of
 from forecourt.session import checkpoint_dir
 
 _ROWS = 4096
@@ -90,12 +92,12 @@ def leaves(model: PipelineModel, spark: SparkSession) -> list[Leaf]:
     return out
 
 
-def contributions(found: list[Leaf], x: np.ndarray) -> np.ndarray:
-    """Shapley value of each row and input."""
+def contributions(found: list[Leaf], x: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
+    """Shapley value of each row and input. ``tables`` are the leaves' shares, made if none are given."""
     total = np.zeros(x.shape)
-    for leaf in found:
+    for number, leaf in enumerate(found):
         if leaf.features:
-            table = leaf.shares()
+            table = tables[number] if tables else leaf.shares()
             for at in range(0, len(x), _ROWS):
                 part = x[at:at + _ROWS, leaf.features]
                 inside = (part > leaf.low) & (part <= leaf.high)
@@ -116,9 +118,11 @@ def shap_values(model: PipelineModel, df: DataFrame, inputs: Inputs = Inputs())
     count = len(inputs.categorical) + len(inputs.numeric)
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = None
         for batch in batches:
+            tables = tables or [leaf.shares() for leaf in found]
             values = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(-1, count)
-            shares = contributions(found, values)
+            shares = contributions(found, values, tables)
             ends = pa.array(np.arange(0, count * len(values) + 1, count), pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(shares.reshape(-1)))], [*batch.schema.names[:-1], "shap"])
 
@@ -127,7 +131,37 @@ def shap_values(model: PipelineModel, df: DataFrame, inputs: Inputs = Inputs())
 
 
 def mean_shap(model: PipelineModel, df: DataFrame, inputs: Inputs = Inputs()) -> DataFrame:
-    """``feature, importance``: mean absolute Shapley value of each input over all rows."""
+    """``feature, importance``: mean absolute Shapley value of each input over all rows.
+
+    Rows between the same cuts of every input have the same values, so those of boosted trees are worked out once per such cell.
+    """
+    trees = trees_of(model, df.sparkSession)
+    if trees is not None and trees.cells < 2**62:
+        return _mean_by_cell(model, trees, df, inputs)
     rows = shap_values(model, usable(df, inputs).select(*inputs.categorical, *inputs.numeric), inputs)
     means = rows.agg(*[F.avg(F.abs(F.get("shap", F.lit(i)))).alias(c) for i, c in enumerate((*inputs.categorical, *inputs.numeric))])
     return means.unpivot([], means.columns, "feature", "importance")
+
+
+def _mean_by_cell(model: PipelineModel, trees: Trees, df: DataFrame, inputs: Inputs) -> DataFrame:
+    spark, found, names = df.sparkSession, leaves(model, df.sparkSession), [*inputs.categorical, *inputs.numeric]
+
+    def numbered(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(trees.cell(column.flatten().to_numpy(zero_copy_only=False).reshape(-1, trees.width)))
+
+    encoded = PipelineModel(stages=model.stages[:-1]).transform(usable(df.select(*names, inputs.target), inputs))
+    cells = known_size(encoded.select(F.arrow_udf(numbered, "long")(vector_to_array("features")).alias("_cell")).groupBy("_cell").agg(F.count("*").alias("_n")))
+    # few rows, much work
+    cells = cells.repartition(spark.sparkContext.defaultParallelism, "_cell")
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = None
+        for batch in batches:
+            tables = tables or [leaf.shares() for leaf in found]
+            moved = np.abs(contributions(found, trees.rows_of(batch.column(0).to_numpy()), tables)) * batch.column(1).to_numpy()[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *map(pa.array, moved.T)], ["n", *[f"s{i}" for i in range(trees.width)]])
+
+    sums = cells.mapInArrow(explain, f"n long, {', '.join(f's{i} double' for i in range(trees.width))}")
+    means = sums.agg(*[(F.sum(f"s{i}") / F.sum("n")).alias(c) for i, c in enumerate(names)])
+    return means.unpivot([], means.columns, "feature", "importance")

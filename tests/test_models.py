@@ -697,3 +697,13 @@ def test_edges_lie_halfway_between_values():
     values, times = bo._counted(np.array([1.0, 3.0]), np.array([2, 2]), np.array([3.0, 0.0, 3.0, 9.0]))
     assert values.tolist() == [0.0, 1.0, 3.0, 9.0] and times.tolist() == [1, 2, 4, 1]
     assert bo._counted(np.empty(0), np.empty(0), np.arange(5000.0)) is None
+
+
+def test_mean_shapley_values_are_worked_out_once_per_cell(spark, market, monkeypatch):
+    model = pricing.train(market, INPUTS, pricing.boosted(INPUTS, trees=6, depth=4))
+    rows = shap.shap_values(model, market, INPUTS)
+    want = rows.agg(*[F.avg(F.abs(F.get("shap", F.lit(i)))).alias(c) for i, c in enumerate((*INPUTS.categorical, *INPUTS.numeric))]).first().asDict()
+    monkeypatch.setattr(shap, "shap_values", None)
+    got = shap.mean_shap(model, market.unionByName(market), INPUTS)
+    assert got.dtypes == [("feature", "string"), ("importance", "double")]
+    assert {r.feature: r.importance for r in got.collect()} == pytest.approx(want, rel=1e-9)
