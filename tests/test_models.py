@@ -707,3 +707,32 @@ def test_mean_shapley_values_are_worked_out_once_per_cell(spark, market, monkeyp
     got = shap.mean_shap(model, market.unionByName(market), INPUTS)
     assert got.dtypes == [("feature", "string"), ("importance", "double")]
     assert {r.feature: r.importance for r in got.collect()} == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("at_once", [64 << 20, 1])
+def test_models_grown_by_way_equal_each_by_hand(spark, monkeypatch, at_once):
+    """Each way to draw rows in a task of its own, few or many trees' sums at a time: the same trees and scores as level by level."""
+    import pickle
+
+    from pyspark.ml.functions import array_to_vector
+
+    from forecourt.operators import boosting as bo
+
+    monkeypatch.setattr(bo, "DRAWN_BYTES", at_once)
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(draw.integers(5)), float(draw.integers(4))], i % 3) for i in range(700)]
+    rows = [(i, x, 10 * x[0] + 7 * x[1] * x[0] + float(draw.normal()), f) for i, x, f in rows]
+    df = spark.createDataFrame(rows, "id long, x array<double>, price double, _fold int").withColumn("features", array_to_vector("x"))
+    models = [bo.Boosted(2, 0.3, without=1), bo.Boosted(3, 0.1, 0.7, seed=5, without=1), bo.Boosted(1, 0.2, 0.7, seed=5, without=1),
+              bo.Boosted(2, 0.2, 0.8, seed=9, resample=True), bo.Boosted(2, 0.5, without=7)]
+    found = bo.bin_rows(df, "id", "price", 2, "_fold")
+    blocks, want = bo.grow(bo.in_blocks(found, 2), models, 2, 4, marks=(2, 4))
+    lines = bo.grow_cells(found, models, 2, 4, (2, 4), kinds=("predictions",)).collect()
+    got = bo.scores_of(spark.createDataFrame(lines), models, (2, 4))
+    assert {m: s.tolist() for m, s in got.items()} == {m: pytest.approx(s.tolist(), abs=1e-5) for m, s in want.items()} and got[4][0] > got[2][0] > 0
+    assert got[4][4] == 0  # no row is in that fold
+    by_hand = {}
+    for b in blocks.collect():
+        by_hand |= {(i, x.tobytes()): b.prediction[i][j] for i in range(len(models)) for j, x in enumerate(b.bins)}
+    cells = [(r.model, *pickle.loads(r.data)) for r in lines if r.kind == "predictions"]
+    assert {(i, x.tobytes()): float(p) for i, bins, f in cells for x, p in zip(bins, f)} == pytest.approx(by_hand, rel=1e-5)
