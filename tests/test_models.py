@@ -736,3 +736,21 @@ def test_models_grown_by_way_equal_each_by_hand(spark, monkeypatch, at_once):
         by_hand |= {(i, x.tobytes()): b.prediction[i][j] for i in range(len(models)) for j, x in enumerate(b.bins)}
     cells = [(r.model, *pickle.loads(r.data)) for r in lines if r.kind == "predictions"]
     assert {(i, x.tobytes()): float(p) for i, bins, f in cells for x, p in zip(bins, f)} == pytest.approx(by_hand, rel=1e-5)
+
+
+def test_spread_by_cell_equals_spread_by_row(spark, market, monkeypatch):
+    from forecourt.operators import boosting as bo
+
+    def rows():
+        got = pricing.prediction_spread(market, "listing_id", INPUTS, pricing.boosted(INPUTS, 3, 3), refits=4)
+        return got.columns, {r.listing_id: (r.price, r.prediction, r.uncertainty) for r in got.collect()}
+
+    columns, by_cell = rows()
+    monkeypatch.setattr(bo, "MOST_CELLS", 0)
+    names, by_row = rows()
+    assert columns == names == ["listing_id", "price", "prediction", "uncertainty"] and len(by_cell) == len(by_row) == 2000
+    assert all(by_cell[i] == pytest.approx(by_row[i], rel=1e-3, abs=0.05) for i in by_row)
+    # the lots of rows differ from tree to tree, also among the four that share a number
+    ids = np.arange(40_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    drawn = np.stack([bo.drawn_rows(ids, 4, t, 0.8) for t in range(8)]).astype(float)
+    assert drawn.mean(axis=1) == pytest.approx(np.full(8, 0.8), abs=0.01) and np.abs(np.corrcoef(drawn) - np.eye(8)).max() < 0.03
